@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from importlib import import_module
 from pkgutil import iter_modules
 
@@ -10,4 +11,4 @@ from gridloom.registry import Registry
 
 def registries() -> list[Registry]:
     """Registries of the query modules, those named ``p<N>_...``."""
-    return [import_module(f"{__name__}.{m.name}").REG for m in iter_modules(__path__) if m.name.startswith("p")]
+    return [import_module(f"{__name__}.{m.name}").REG for m in iter_modules(__path__) if re.match(r"p\d+_", m.name)]

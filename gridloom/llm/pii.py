@@ -45,6 +45,8 @@ def _rewritten(found: str) -> str:
     first = found[0]
     if first == "&":
         plain = html.unescape(found)
+        if plain == found:
+            plain = html.unescape(found.lower())
         return plain if len(plain) == 1 and plain != found else found
     if first in "ÃÂ":
         try:
@@ -110,11 +112,13 @@ _CORE = rf"(?!{_NEVER})(?:(?:[OD]')?[{_U}][{_L}]+(?:[{_U}][{_L}]+)*|(?:[OD]')?(?
 _WORD = rf"{_CORE}(?:-\n?{_CORE})*"
 _INITIAL = rf"[{_U}]\.(?:-[{_U}]\.)?"
 _SURNAME = rf"(?:(?:{_PARTICLE}\s){{0,3}})(?:(?:d|D)')?{_WORD}"
-_FULL = rf"(?:{_WORD}|{_INITIAL})\s(?:{_INITIAL}\s){{0,3}}(?:{_WORD}\s){{0,1}}{_SURNAME}"
-_NAME = re.compile(rf"\s{{0,2}}({_FULL})(?![\w])")
+_FULL = rf"(?:{_WORD}\s(?:{_INITIAL}\s)?|{_INITIAL}\s(?:{_INITIAL}\s){{0,2}}){_SURNAME}"
+_LONG = rf"(?:{_WORD}|{_INITIAL})\s(?:{_INITIAL}\s){{0,3}}(?:{_WORD}\s){{0,1}}{_SURNAME}"
+_NAME = re.compile(rf"\s{{0,2}}({_LONG})(?![\w])")
 _TITLE = r"(?:Mrs|Mr|Ms|Miss|Dr|Prof|Professor|Commissioner|Councillor|Councilor|Councilwoman|Councilman|Mayor|Judge|Sir|Rev|Herrn|Herr|Frau|Mme|Mlle|Me|Monsieur|Madame|Maître|Sra|Srta|Sr|Dña|Don|Doña|MRS|MR|MS|DR|PROF|HERR|FRAU|MME|SRA|SR|DÑA|COMMISSIONER)"
 _AFTER_TITLE = re.compile(rf"\.?\s(?:(?:{_TITLE})\.?\s)?({_FULL}|{_SURNAME})(?![\w])")
 _TITLED = re.compile(rf"\s{{0,2}}(?:{_TITLE})\b")
+_PLACE = re.compile(rf"{_WORD}\s(?=(?:{_FULL})$)")
 _NAME_BEFORE = re.compile(rf"(?:^|(?<=[^\w.'-]))({_FULL}|{_SURNAME})$")
 _ATTENDEE = re.compile(rf"\s*({_SURNAME},\s(?:{_WORD}|{_INITIAL})(?:\s(?:{_INITIAL}|{_WORD}))*)(?=\s*[;–—.\n]|$)")
 
@@ -144,15 +148,19 @@ _PHONE_SHAPES = re.compile(
     r")$"
 )
 _LOCAL_PHONE = re.compile(r"^\d{3}[ .-]\d{4}$")
+_ID_CUE_NEAR = re.compile(r"(?:social security|taxpayer|insurance|passport|identity)", re.I)
+_NINE = re.compile(r"^\d{9}$")
 _ID_SHAPES = re.compile(r"^(?:\d{3}([ .-])\d{2}\1\d{4}|[1-4]\s\d{2}\s\d{2}\s\d{2}\s\d{3}\s\d{3}\s\d{2}|[1-4]\d{14})$")
 _ID_AFTER = re.compile(
     r"(?:[\s:]|n°|no\.?|No\.?|nº|number|NUMBER|NO\.?|Nr\.?|num\.?|número|numéro|de|ist|is|lautet|:)*?\s?"
-    r"((?=[A-Z0-9]*[ ./-]?\d)(?:[A-Z]{1,2}[ -]?)?\d(?:[ ./-]?\d){5,14}(?:[ -]?[A-Z](?![\w]))?)(?!\w)"
+    r"((?=[A-Z0-9]*[ ./-]?\d)(?:[A-Z]{1,2}[ -]?)?\d(?:[ ./-]?\d){5,14}(?:[ -]?[A-Z](?![\w]))?(?: ?/ ?\d{2}(?!\d))?)(?!\w)"
 )
 _SPELLED = re.compile(r"(?:zero|oh|nought|one|two|three|four|five|six|seven|eight|nine|double|triple)(?:[ ,-]{1,2}(?:zero|oh|nought|one|two|three|four|five|six|seven|eight|nine|double|triple)){6,15}", re.I)
 
 # Street words, with a stop where the short form is written with one.
 _STREETS_EN = "Street|Avenue|Road|Lane|Drive|Court|Terrace|Boulevard|Way|Close|Place|Circle|Crescent|Square|Parkway|Highway|Trail|Grove|Hill|Gardens|Mews|Row|Walk|Blvd|Pkwy|Hwy|Ave|St|Rd|Ln|Dr|Ct|Pl|Ter|Cir|Sq"
+#: A stop that is not the sentence's: another stop, a comma, a line end or a word in the middle of a sentence follows.
+_STOP_IS_OWN = re.compile(r"\.(?:[.,;\n]|\s+(?:[a-zß-ÿ(]|(?:IN|LIES|AND|TO|NEAR|AT|ON|IS|WAS)\b))")
 _STOPPED = frozenset(("st", "rd", "ln", "dr", "ct", "pl", "ter", "cir", "sq"))
 _BEFORE_EN = rf"(?:(?:[NSEW]|NE|NW|SE|SW)\.?\s|(?i:North|South|East|West|Old|New|Upper|Lower|Great|Little)\s)*(?:[{_U}0-9][\w'-]*\.?\s){{1,3}}"
 _ADDRESS_EN = re.compile(rf"(?<![\w.,/-])(\d{{1,5}}(?:[-/]\d{{1,4}})?\s?[A-Za-z]?\s{_BEFORE_EN}(?i:({_STREETS_EN}))\b)")
@@ -223,7 +231,7 @@ def _numbers(t: str) -> Iterator[tuple[str, int, int]]:
         before = t[max(0, start - 32) : start]
         if _NOT_PERSONAL.search(before):
             continue
-        if _ID_SHAPES.match(s):
+        if _ID_SHAPES.match(s) or _NINE.match(s) and before.endswith("number ") and _ID_CUE_NEAR.search(t, end, end + 30):
             yield "id_number", start, end
         elif _PHONE_SHAPES.match(s) or (_LOCAL_PHONE.match(s) or _digits(s) <= 15) and _PHONE_CUE.search(before):
             yield "phone", start, end
@@ -275,7 +283,7 @@ def find_plain(t: str) -> list[tuple[str, int, int]]:
                 continue
             for m in _ADDRESS_EN.finditer(t, max(0, start - 60), end):
                 if m.end(1) == end:
-                    stop = t[end : end + 1] == "." and m.group(2).lower() in _STOPPED
+                    stop = m.group(2).lower() in _STOPPED and _STOP_IS_OWN.match(t, end) is not None
                     found.append(("address", m.start(1), end + stop))
         elif kind == "fr":
             if m := _last(_ADDRESS_FR, t, max(0, start - 12), min(len(t), end + 60), start):
@@ -312,6 +320,8 @@ def _names_ending(t: str, end: int) -> Iterator[tuple[int, int]]:
     if not (m := _NAME_BEFORE.search(window)):
         return
     start = lo + m.start(1)
+    if t[max(0, start - 2) : start] == ", " and (place := _PLACE.match(window, m.start(1))):
+        start = lo + place.end()  # a town after its street, with no stop before the name
     if title := re.match(rf"(?:(?:{_TITLE})\.?|M\.|D\.|Dª)\s", t[start:end]):
         rest = start + title.end()
         if title.group().strip() in ("M.", "D.") and t[end : end + 3] == "'s ":
