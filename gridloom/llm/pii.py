@@ -31,14 +31,19 @@ _LOOKALIKE = dict(zip("АВЕЅІЈКМНОРСТХаеѕіјорсхуԁΑΒΕ
 _PLAIN = {" ": " ", " ": " ", " ": " ", "‐": "-", "‑": "-", "‒": "-", "−": "-", "’": "'", "‘": "'", "ʼ": "'", "․": "."}
 _ONE_TO_ONE = str.maketrans(_LOOKALIKE | _PLAIN | {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)})
 _ODD = re.compile(r"[   ‐-‒−’‘ʼ․Ͱ-ӿԁ！-～]")
-_EDIT = re.compile(
-    r"&(?:#\d{1,5}|#x[0-9a-fA-F]{1,4}|[a-zA-Z]{2,8});"  # entities
-    r"|[ÃÂ][-¿ŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]"  # UTF-8 read as Latin
-    r"|[­​-‍⁠﻿]+"  # invisible
-    r"|(?<=[a-zà-öø-ÿ])-\n(?=[a-zà-öø-ÿ])|(?<=[A-ZÀ-Þ]{2})-\n(?=[A-ZÀ-Þ]{2})"  # hyphenated line ends
-    r"|[  ]{2,}"
+#: What has to be rewritten, each with what gives it away; a text is searched only for what it holds.
+_EDITS = (
+    (("&",), r"&(?:#\d{1,5}|#x[0-9a-fA-F]{1,4}|[a-zA-Z]{2,8});"),  # entities
+    (("Ã", "Â"), r"[ÃÂ][\x80-\xbfŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]"),  # UTF-8 read as Latin
+    (("\u200b", "\u00ad", "\u2060", "\ufeff", "\u200c", "\u200d"), r"[\u00ad\u200b-\u200d\u2060\ufeff]+"),  # invisible
+    (("-\n",), r"-\n(?:(?<=[a-zà-öø-ÿ]-\n)(?=[a-zà-öø-ÿ])|(?<=[A-ZÀ-Þ]{2}-\n)(?=[A-ZÀ-Þ]{2}))"),  # hyphenated line ends
+    (("  ", "\u00a0 ", " \u00a0", "\u00a0\u00a0"), r"[ \u00a0]{2,}"),
 )
-_TRIGGERS = ("&", "Ã", "Â", "​", "­", "-\n", "  ", " ", "⁠", "﻿", "‌", "‍")
+
+
+@lru_cache(maxsize=1 << len(_EDITS))
+def _edit(wanted: tuple[int, ...]) -> re.Pattern:
+    return re.compile("|".join(_EDITS[i][1] for i in wanted))
 
 
 def _rewritten(found: str) -> str:
@@ -68,9 +73,10 @@ class Plain:
         self._at: list[int] = []  # where each edit ends in the plain text
         self._shift: list[int] = []  # source minus plain position from there on
         self._made: list[bool] = []  # whether the edit left a character
-        if any(t in text for t in _TRIGGERS):
+        wanted = tuple(i for i, (signs, _) in enumerate(_EDITS) if any(x in text for x in signs))
+        if wanted:
             parts, done, length = [], 0, 0
-            for m in _EDIT.finditer(text):
+            for m in _edit(wanted).finditer(text):
                 new = _rewritten(m.group())
                 if new == m.group():
                     continue
@@ -129,7 +135,8 @@ _DOMAIN = re.compile(rf"{_AT}({_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[A-Za-z]{{2,}})(?
 _LOCAL = re.compile(rf"(?:^|(?<=[^\w.+%'-]))[A-Za-z0-9_+%-](?:[A-Za-z0-9_.+%'-]|\s?[\[({{<]\s?(?:dot|DOT|punto)\s?[\])}}>]\s?|\s(?:dot|DOT)\s)*$")
 _WORDED = re.compile(rf"(?:^|(?<=[^\w.+%'-]))([A-Za-z0-9_+%-](?:[A-Za-z0-9_.+%-]|\s(?:dot|DOT)\s(?=\S))*)\s(?:at|AT|arroba)\s({_LABEL}(?:{_DOT}{_LABEL})*(?:\s(?:dot|DOT|punto)\s|\s?[\[({{<]\s?(?:dot|DOT)\s?[\])}}>]\s?){_LABEL}(?:{_DOT}{_LABEL})*)(?!\w)")
 
-_NUMBER = re.compile(r"(?<![\w.,/$£€#-])(?:\+\s?|\()?\d+(?:(?:[ ./-]|\)[ -]?| ?\(| / )\(?\d+\)?)*(?![\w])")
+_NUMBER = re.compile(r"(?<![\w.,/$£€#-])(?:\+\s?|\()?(?=[\d ./()-]{7})\d+(?:(?:[ ./-]|\)[ -]?| ?\(| / )\(?\d+\)?)*(?![\w])")
+_NO_DIGIT = re.compile(r"\D+")
 _DATE = re.compile(r"^(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[/.]\d{1,2}[/.](?:\d{4}|\d{2}))$")
 _NOT_PERSONAL = re.compile(
     r"(?:serial|serie|série|Zählernummer|Zähler|compteur|contador|meter|plan|parcel|docket|queue|listing|lot|part|item|turbine|schedule|stage|cluster|page|invoice|account|deposit|Aktenzeichen|dossier|expediente|Verfahren)"
@@ -217,7 +224,7 @@ def _automaton() -> ahocorasick.Automaton:
 
 
 def _digits(s: str) -> int:
-    return sum(c.isdigit() for c in s)
+    return len(_NO_DIGIT.sub("", s))
 
 
 def _numbers(t: str) -> Iterator[tuple[str, int, int]]:
@@ -226,7 +233,7 @@ def _numbers(t: str) -> Iterator[tuple[str, int, int]]:
         if end - start < 7:
             continue
         s = m.group()
-        if _digits(s) < 7 or _DATE.match(s):
+        if _DATE.match(s) or _digits(s) < 7:
             continue
         before = t[max(0, start - 32) : start]
         if _NOT_PERSONAL.search(before):
