@@ -79,8 +79,9 @@ def vetoed_unions(edges: DataFrame, roots: DataFrame, kinds: DataFrame) -> DataF
     fits all). Order matters only within a component, so each is walked in its own task; nodes of one component are
     few where edges are matches above a threshold.
     """
-    facts = roots.join(kinds, "node", "left")
-    e = edges.join(roots.select(F.col("node").alias("left"), "root"), "left").select("root", "left", "right", "score")
+    facts = roots.join(kinds, "node", "left").select("node", "kind", F.col("root").alias("component"))
+    of = roots.select(F.col("node").alias("left"), F.col("root").alias("walk"))
+    e = edges.join(of, "left").select("walk", "left", "right", "score")
 
     def walk(es: pd.DataFrame, ns: pd.DataFrame) -> pd.DataFrame:
         parent = {n: n for n in ns["node"]}
@@ -100,7 +101,7 @@ def vetoed_unions(edges: DataFrame, roots: DataFrame, kinds: DataFrame) -> DataF
                 kind[x] |= kind[y]
         return pd.DataFrame({"node": ns["node"], "cluster": [top(n) for n in ns["node"]]})
 
-    return e.groupBy("root").cogroup(facts.groupBy("root")).applyInPandas(walk, "node long, cluster long")
+    return e.groupBy("walk").cogroup(facts.groupBy("component")).applyInPandas(walk, "node long, cluster long")
 
 
 def inherited(clusters: DataFrame, prior: DataFrame) -> DataFrame:

@@ -13,23 +13,23 @@ REG = Registry()
 
 _STATE = "CASE o_orderstatus WHEN 'O' THEN 'filed' WHEN 'F' THEN 'built' ELSE 'permitted' END"
 _VERSIONS = f"""
-a AS (SELECT o_orderkey, {_STATE} AS state, o_orderpriority AS raw, o_totalprice AS amount, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 11 <> 0),
-b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'withdrawn' WHEN o_orderkey % 13 = 0 THEN 'contracted' ELSE {_STATE} END AS state,
-      CASE WHEN o_orderkey % 3 = 0 THEN upper(o_orderpriority) || ' ' WHEN o_orderkey % 17 = 0 THEN 'other words' ELSE o_orderpriority END AS raw,
-      CASE WHEN o_orderkey % 19 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN o_totalprice * 1.02 WHEN o_orderkey % 4 = 0 THEN o_totalprice * 1.005 ELSE o_totalprice END AS amount,
-      CASE WHEN o_orderkey % 23 = 0 THEN NULL WHEN o_orderkey % 29 = 0 THEN CAST(o_orderdate AS DATE) + 1 ELSE CAST(o_orderdate AS DATE) END AS d
-      FROM orders WHERE o_orderkey % 10 <> 0)"""
+a AS (SELECT o_orderkey, {_STATE} AS state, o_orderpriority AS raw, o_totalprice AS amount, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_totalprice <= 400000),
+b AS (SELECT o_orderkey, CASE WHEN dayofyear(o_orderdate) % 7 = 0 THEN 'withdrawn' WHEN dayofyear(o_orderdate) % 13 = 0 THEN 'contracted' ELSE {_STATE} END AS state,
+      CASE WHEN dayofyear(o_orderdate) % 3 = 0 THEN upper(o_orderpriority) || ' ' WHEN dayofyear(o_orderdate) % 17 = 0 THEN 'other words' ELSE o_orderpriority END AS raw,
+      CASE WHEN dayofyear(o_orderdate) % 19 = 0 THEN NULL WHEN dayofyear(o_orderdate) % 5 = 0 THEN o_totalprice * 1.02 WHEN dayofyear(o_orderdate) % 4 = 0 THEN o_totalprice * 1.005 ELSE o_totalprice END AS amount,
+      CASE WHEN dayofyear(o_orderdate) % 23 = 0 THEN NULL WHEN dayofyear(o_orderdate) % 29 = 0 THEN CAST(o_orderdate AS DATE) + 1 ELSE CAST(o_orderdate AS DATE) END AS d
+      FROM orders WHERE o_totalprice >= 20000)"""
 
 
 def order_versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Two versions of the orders: every row of the table, some left out of one and some altered in the other."""
+    """Two versions of the orders: the dearest missing from the first, the cheapest from the second, others altered by date."""
     orders = table(spark, d, "orders")
-    k = F.col("o_orderkey")
+    k = F.dayofyear("o_orderdate")
     state = F.when(F.col("o_orderstatus") == "O", "filed").when(F.col("o_orderstatus") == "F", "built").otherwise("permitted")
     price, date, words = F.col("o_totalprice"), F.to_date("o_orderdate"), F.col("o_orderpriority")
-    before = orders.where(k % 11 != 0).select(k, state.alias("state"), words.alias("raw"), price.alias("amount"), date.alias("d"))
-    after = orders.where(k % 10 != 0).select(
-        k, F.when(k % 7 == 0, "withdrawn").when(k % 13 == 0, "contracted").otherwise(state).alias("state"),
+    before = orders.where(price <= 400_000).select("o_orderkey", state.alias("state"), words.alias("raw"), price.alias("amount"), date.alias("d"))
+    after = orders.where(price >= 20_000).select(
+        "o_orderkey", F.when(k % 7 == 0, "withdrawn").when(k % 13 == 0, "contracted").otherwise(state).alias("state"),
         F.when(k % 3 == 0, F.concat(F.upper(words), F.lit(" "))).when(k % 17 == 0, "other words").otherwise(words).alias("raw"),
         F.when(k % 19 == 0, None).when(k % 5 == 0, price * 1.02).when(k % 4 == 0, price * 1.005).otherwise(price).alias("amount"),
         F.when(k % 23 == 0, None).when(k % 29 == 0, F.date_add(date, 1)).otherwise(date).alias("d"),
@@ -114,14 +114,14 @@ def dup_disambiguate(spark: SparkSession, d: str) -> DataFrame:
     return op.disambiguated(table(spark, d, "events").select("user_id", "event_type", "event_id"), "user_id", ["event_type", "event_id"]).select("event_id", "unique_key")
 
 
-_STORED = "s AS (SELECT l_orderkey, l_linenumber, max(l_extendedprice) AS v FROM lineitem WHERE l_orderkey % 4 <> 0 GROUP BY 1, 2), i AS (SELECT l_orderkey, l_linenumber, max(CASE WHEN l_orderkey % 6 = 0 THEN l_extendedprice + 1 ELSE l_extendedprice END) AS v FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1, 2)"
+_STORED = "s AS (SELECT l_orderkey, l_linenumber, max(l_extendedprice) AS v FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1, 2), i AS (SELECT l_orderkey, l_linenumber, max(CASE WHEN l_returnflag = 'R' THEN l_extendedprice + 1 ELSE l_extendedprice END) AS v FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1, 2)"
 
 
 def _stored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    lines, k = table(spark, d, "lineitem"), F.col("l_orderkey")
-    stored = lines.where(k % 4 != 0).groupBy("l_orderkey", "l_linenumber").agg(F.max("l_extendedprice").alias("v"))
-    value = F.when(k % 6 == 0, F.col("l_extendedprice") + 1).otherwise(F.col("l_extendedprice"))
-    return stored, lines.where(k % 3 == 0).groupBy("l_orderkey", "l_linenumber").agg(F.max(value).alias("v"))
+    lines = table(spark, d, "lineitem")
+    stored = lines.where("l_returnflag <> 'A'").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_extendedprice").alias("v"))
+    value = F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice") + 1).otherwise(F.col("l_extendedprice"))
+    return stored, lines.where("l_linestatus = 'O'").groupBy("l_orderkey", "l_linenumber").agg(F.max(value).alias("v"))
 
 
 @REG.add("upsert_incremental", f"""

@@ -54,10 +54,10 @@ def facet_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @REG.add("search_rank", r"""
 WITH s AS (SELECT p_partkey, p_name, translate(lower(p_name), ' .,-''&/()', '') AS q FROM part)
-SELECT p_partkey, p_name, CASE WHEN q = 'part1' THEN 0 WHEN starts_with(q, 'part1') THEN 1 ELSE 2 END AS rank FROM s WHERE contains(q, 'part1')""")
+SELECT p_partkey, p_name, CASE WHEN q = 'smallring' THEN 0 WHEN starts_with(q, 'smallring') THEN 1 ELSE 2 END AS rank FROM s WHERE contains(q, 'smallring')""")
 def search_rank(spark: SparkSession, d: str) -> DataFrame:
     """Parts whose squashed name holds the query, equal before prefix before substring."""
-    return table(spark, d, "part").select("p_partkey", "p_name", op.search_rank(F.col("p_name"), "Part-1").alias("rank")).where("rank is not null")
+    return table(spark, d, "part").select("p_partkey", "p_name", op.search_rank(F.col("p_name"), "Small-Ring").alias("rank")).where("rank is not null")
 
 
 @REG.add("country_clause", """
