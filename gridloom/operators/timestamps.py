@@ -104,7 +104,7 @@ def with_read(df: DataFrame, text: Column, day_first: Column, out: str) -> DataF
     sign = F.substring("_zone_text", 1, 1)
     digits = F.rpad(F.regexp_replace(F.substring("_zone_text", 2, 9), ":", ""), 4, "0")
     df = df.withColumns({
-        "_date_us": F.unix_date(F.concat_ws("-", "_year", "_month", "_day").try_cast("date")).cast("long") * _DAY_US,
+        "_date_us": F.unix_date(F.concat("_year", F.lit("-"), "_month", F.lit("-"), "_day").try_cast("date")).cast("long") * _DAY_US,
         "_hour": F.when(col("_half") == "", col("_hour")).otherwise(half),
         "_micros": F.when(col("_fraction") == "", F.lit(0)).otherwise(F.substring(F.rpad("_fraction", 6, "0"), 1, 6).try_cast("long")),
         "_zone_hour": F.substring(digits, 1, 2).try_cast("int"), "_zone_minute": F.substring(digits, 3, 2).try_cast("int"),
