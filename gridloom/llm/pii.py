@@ -124,9 +124,13 @@ _NAME = re.compile(rf"\s{{0,2}}({_LONG})(?![\w])")
 _TITLE = r"(?:Mrs|Mr|Ms|Miss|Dr|Prof|Professor|Commissioner|Councillor|Councilor|Councilwoman|Councilman|Mayor|Judge|Sir|Rev|Herrn|Herr|Frau|Mme|Mlle|Me|Monsieur|Madame|Maître|Sra|Srta|Sr|Dña|Don|Doña|MRS|MR|MS|DR|PROF|HERR|FRAU|MME|SRA|SR|DÑA|COMMISSIONER)"
 _AFTER_TITLE = re.compile(rf"\.?\s(?:(?:{_TITLE})\.?\s)?({_FULL}|{_SURNAME})(?![\w])")
 _TITLED = re.compile(rf"\s{{0,2}}(?:{_TITLE})\b")
+_TITLE_FIRST = re.compile(rf"(?:{_TITLE})\.?\s")
+_LETTER = re.compile(r"[MD]\.\s")
+#: Letters that are a title in the language of what follows the name; elsewhere they are initials.
+_TITLE_LETTERS = {"M. ": (", domicilié", ", demeurant"), "D. ": (", con domicilio", ", vecino")}
 _PLACE = re.compile(rf"{_WORD}\s(?=(?:{_FULL})$)")
 _NAME_BEFORE = re.compile(rf"(?:^|(?<=[^\w.'-]))({_FULL}|{_SURNAME})$")
-_ATTENDEE = re.compile(rf"\s*({_SURNAME},\s(?:{_WORD}|{_INITIAL})(?:\s(?:{_INITIAL}|{_WORD}))*)(?=\s*[;–—.\n]|$)")
+_ATTENDEE = re.compile(rf"\s*({_SURNAME},\s(?:{_WORD}|{_INITIAL})(?: {_INITIAL})*)(?=\s*[;–—.\n]|$)")
 
 _AT = r"(?:\s?@\s?|\s?[\[({<]\s?(?:at|AT|At|arroba)\s?[\])}>]\s?|\s(?:at|AT|arroba)\s)"
 _DOT = r"(?:\.|\s?[\[({<]\s?(?:dot|DOT|Dot|punto|point|punkt)\s?[\])}>]\s?|\s(?:dot|DOT|punto)\s)"
@@ -159,7 +163,7 @@ _ID_CUE_NEAR = re.compile(r"(?:social security|taxpayer|insurance|passport|ident
 _NINE = re.compile(r"^\d{9}$")
 _ID_SHAPES = re.compile(r"^(?:\d{3}([ .-])\d{2}\1\d{4}|[1-4]\s\d{2}\s\d{2}\s\d{2}\s\d{3}\s\d{3}\s\d{2}|[1-4]\d{14})$")
 _ID_AFTER = re.compile(
-    r"(?:[\s:]|n°|no\.?|No\.?|nº|number|NUMBER|NO\.?|Nr\.?|num\.?|número|numéro|de|ist|is|lautet|:)*?\s?"
+    r"(?:[\s:.]|n°|no\.?|No\.?|nº|number|NUMBER|NO\.?|Nr\.?|num\.?|número|numéro|de|ist|is|lautet|:)*?\s?"
     r"((?=[A-Z0-9]*[ ./-]?\d)(?:[A-Z]{1,2}[ -]?)?\d(?:[ ./-]?\d){5,14}(?:[ -]?[A-Z](?![\w]))?(?: ?/ ?\d{2}(?!\d))?)(?!\w)"
 )
 _SPELLED = re.compile(r"(?:zero|oh|nought|one|two|three|four|five|six|seven|eight|nine|double|triple)(?:[ ,-]{1,2}(?:zero|oh|nought|one|two|three|four|five|six|seven|eight|nine|double|triple)){6,15}", re.I)
@@ -238,7 +242,7 @@ def _numbers(t: str) -> Iterator[tuple[str, int, int]]:
         before = t[max(0, start - 32) : start]
         if _NOT_PERSONAL.search(before):
             continue
-        if _ID_SHAPES.match(s) or _NINE.match(s) and before.endswith("number ") and _ID_CUE_NEAR.search(t, end, end + 30):
+        if _ID_SHAPES.match(s) or _NINE.match(s) and before.endswith("number ") and _ID_CUE_NEAR.search(t, end, end + 48):
             yield "id_number", start, end
         elif _PHONE_SHAPES.match(s) or (_LOCAL_PHONE.match(s) or _digits(s) <= 15) and _PHONE_CUE.search(before):
             yield "phone", start, end
@@ -329,12 +333,11 @@ def _names_ending(t: str, end: int) -> Iterator[tuple[int, int]]:
     start = lo + m.start(1)
     if t[max(0, start - 2) : start] == ", " and (place := _PLACE.match(window, m.start(1))):
         start = lo + place.end()  # a town after its street, with no stop before the name
-    if title := re.match(rf"(?:(?:{_TITLE})\.?|M\.|D\.|Dª)\s", t[start:end]):
-        rest = start + title.end()
-        if title.group().strip() in ("M.", "D.") and t[end : end + 3] == "'s ":
-            yield start, end  # an initial
-        else:
-            yield rest, end
+    title = _TITLE_FIRST.match(t, start, end)
+    if not title and (letter := _TITLE_LETTERS.get(t[start : start + 3])) and t.startswith(letter, end):
+        title = _LETTER.match(t, start, end)
+    if title:
+        yield title.end(), end
     else:
         # A lone word counts only after a title.
         before = t[max(0, start - 14) : start]
