@@ -135,3 +135,26 @@ def retained(files: DataFrame, group: str, at: str, promoted: str, cutoff: objec
     ranked = files.withColumns({"_m": F.row_number().over(per_month), "_l": F.row_number().over(newest)})
     keep = F.col(at).isNull() | (F.col(at) >= F.lit(cutoff)) | (F.col("_l") == 1) | (F.col("_m") == 1)
     return ranked.withColumn("keep", F.coalesce(keep, F.lit(True))).drop("_m", "_l")
+
+
+def aligned_keys(previous: DataFrame, current: DataFrame, base: str, digest: str, key: str) -> DataFrame:
+    """``previous`` with the keys that ``current`` gives rows of the same base and content; others keep their own.
+
+    Rows of equal base and content are paired in key order, so no row is multiplied.
+    """
+    numbered = lambda df: df.withColumn("_i", F.row_number().over(Window.partitionBy(base, digest).orderBy(key)))
+    new = numbered(current).select(base, digest, "_i", F.col(key).alias("_new"))
+    return numbered(previous).join(new, [base, digest, "_i"], "left").withColumn(key, F.coalesce("_new", key)).drop("_i", "_new")
+
+
+def weekday_baseline(daily: DataFrame, day: str, rows: str, last: int = 4) -> DataFrame:
+    """``daily`` with ``baseline``: the median of the ``last`` same weekdays before."""
+    return against_trailing_median(daily.withColumn("_wd", F.dayofweek(day)), ["_wd"], day, rows, last).drop("_wd")
+
+
+def nulled_fields(previous: DataFrame, current: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """(field, had, lost): values set before, and how many of them the same keys now lack."""
+    old = previous.select(F.col(key).alias("_k"), *[F.col(f).isNotNull().alias(f"_p{i}") for i, f in enumerate(fields)])
+    now = current.select(F.col(key).alias("_k"), *[F.col(f).isNull().alias(f"_n{i}") for i, f in enumerate(fields)])
+    facts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_p{i}").alias("had"), (F.col(f"_p{i}") & F.col(f"_n{i}")).alias("lost")) for i, f in enumerate(fields)])
+    return old.join(now, "_k").select(F.inline(facts)).groupBy("field").agg(F.count_if("had").alias("had"), F.count_if("lost").alias("lost"))

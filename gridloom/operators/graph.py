@@ -126,3 +126,35 @@ def row_numbered(df: DataFrame, order: str) -> DataFrame:
     sizes = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # one row a partition
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return ordered.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("seq", F.col("_start") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).drop("_id", "_part", "_n", "_start")
+
+
+def bounded_clusters(pairs: DataFrame, roots: DataFrame, places: DataFrame, widest_m: float) -> DataFrame:
+    """(node, cluster): nearest pairs joined first, refused where the joined cluster would be wider than ``widest_m``.
+
+    ``pairs`` (left, right, metres), ``roots`` (node, root) of the components of the pairs, ``places`` (node, lat, lon).
+    Order matters only within a component, so each is walked in its own task.
+    """
+    import numpy as np
+
+    facts = roots.join(places, "node").select("node", "lat", "lon", F.col("root").alias("component"))
+    e = pairs.join(roots.select(F.col("node").alias("left"), F.col("root").alias("walk")), "left").select("walk", "left", "right", "metres")
+
+    def width(points: list[tuple[float, float]]) -> float:
+        a = np.radians(np.array(points))
+        la, lo = a[:, 0], a[:, 1]
+        h = np.sin((la[:, None] - la) / 2) ** 2 + np.cos(la)[:, None] * np.cos(la) * np.sin((lo[:, None] - lo) / 2) ** 2
+        return float(2 * 6_371_008.8 * np.arcsin(np.sqrt(np.minimum(1, h))).max())
+
+    def walk(es: pd.DataFrame, ns: pd.DataFrame) -> pd.DataFrame:
+        at = {n: (la, lo) for n, la, lo in ns[["node", "lat", "lon"]].itertuples(index=False)}
+        of = {n: n for n in at}
+        members = {n: [n] for n in at}
+        for a, b in es.sort_values(["metres", "left", "right"])[["left", "right"]].itertuples(index=False):
+            x, y = sorted((of[a], of[b]))
+            if x != y and width([at[n] for n in members[x] + members[y]]) <= widest_m:
+                for n in members[y]:
+                    of[n] = x
+                members[x] += members.pop(y)
+        return pd.DataFrame({"node": list(of), "cluster": list(of.values())})
+
+    return e.groupBy("walk").cogroup(facts.groupBy("component")).applyInPandas(walk, "node long, cluster long")
