@@ -83,8 +83,8 @@ def with_read(df: DataFrame, text: Column, day_first: Column, out: str) -> DataF
     """
     at = lambda i: F.element_at("_parts", i + 1)
     col = F.col
-    month_names = F.create_map(*[x for i, m in enumerate(MONTHS) for x in (F.lit(m), F.lit(str(i + 1)))])
-    offsets = F.create_map(*[x for k, v in ABBREVIATIONS.items() for x in (F.lit(k), F.lit(v))])
+    month_names = F.expr("map(" + ", ".join(f"'{m}', '{i + 1}'" for i, m in enumerate(MONTHS)) + ")")
+    offsets = F.expr("map(" + ", ".join(f"'{k}', {v}" for k, v in ABBREVIATIONS.items()) + ")")
     names = ("_order", "_a", "_b", "_c", "_hour", "_minute", "_second", "_fraction", "_half", "_zone_text")
 
     df = df.withColumn("_text", clean(text)).withColumn("_parts", split_parts(col("_text"))).withColumn("_first", day_first)
@@ -166,4 +166,5 @@ _WORK = frozenset(
 
 def known_zone(zone: Column) -> Column:
     """``zone`` if it is an IANA name, else null; for small lookup tables, so that no row can fail later."""
-    return F.when(zone.isin(sorted(available_timezones())), zone)
+    names = ", ".join(f"'{z}'" for z in sorted(available_timezones()))
+    return F.when(F.array_contains(F.expr(f"array({names})"), zone), zone)
