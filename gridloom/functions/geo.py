@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import struct
 
 import numpy as np
 import pandas as pd
@@ -80,3 +81,107 @@ def distance_to_line(lon: Column, lat: Column, line: Column) -> Column:
         return pd.Series([None if ln is None or a != a or b != b else point_to_line_m(a, b, [(p["lon"], p["lat"]) for p in ln]) for a, b, ln in zip(x, y, lines, strict=True)], dtype="float64")
 
     return run(lon, lat, line)
+
+
+def segment_in_box(a: tuple[float, float], b: tuple[float, float], box: tuple[float, float, float, float]) -> tuple[tuple[float, float], tuple[float, float]] | None:
+    """The part of a segment inside a closed box (x0, y0, x1, y1), None if it misses the box."""
+    enter, leave = 0.0, 1.0
+    for axis in (0, 1):
+        d = b[axis] - a[axis]
+        lo, hi = box[axis], box[axis + 2]
+        if d == 0:
+            if not lo <= a[axis] <= hi:
+                return None
+            continue
+        s, t = (lo - a[axis]) / d, (hi - a[axis]) / d
+        enter, leave = max(enter, min(s, t)), min(leave, max(s, t))
+    if enter > leave:
+        return None
+    at = lambda t: (a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1]))
+    return at(enter), at(leave)
+
+
+def polygon_centroid(rings: list[list[tuple[float, float]]]) -> tuple[float, float] | None:
+    """Area-weighted centre of an outer ring and its holes; the mean of the corners where there is no area."""
+    if not rings or not rings[0]:
+        return None
+    total = cx = cy = 0.0
+    for i, ring in enumerate(rings):
+        p = np.array(ring, dtype=float)
+        if len(p) < 3:
+            continue
+        q = np.roll(p, -1, axis=0)
+        cross = p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]
+        area = cross.sum() / 2
+        if not area:
+            continue
+        sign = (1 if i == 0 else -1) * (1 if area > 0 else -1)
+        total += sign * area
+        cx += sign * ((p[:, 0] + q[:, 0]) * cross).sum() / 6
+        cy += sign * ((p[:, 1] + q[:, 1]) * cross).sum() / 6
+    if not total:
+        return tuple(float(v) for v in np.mean(rings[0], axis=0))
+    return float(cx / total), float(cy / total)
+
+
+def read_wkb(data: bytes | None) -> dict | None:
+    """A two-dimensional WKB point, line, polygon or a multi of these as a GeoJSON mapping; None if it is broken or another type."""
+    if not data:
+        return None
+
+    def geometry(at: int) -> tuple[dict, int]:
+        order = "<" if data[at] == 1 else ">"
+        kind = struct.unpack_from(f"{order}I", data, at + 1)[0]
+        at += 5
+
+        def points(at: int) -> tuple[list[list[float]], int]:
+            n = struct.unpack_from(f"{order}I", data, at)[0]
+            flat = struct.unpack_from(f"{order}{2 * n}d", data, at + 4)
+            return [list(p) for p in zip(flat[::2], flat[1::2], strict=True)], at + 4 + 16 * n
+
+        if kind == 1:
+            return {"type": "Point", "coordinates": list(struct.unpack_from(f"{order}2d", data, at))}, at + 16
+        if kind == 2:
+            line, at = points(at)
+            return {"type": "LineString", "coordinates": line}, at
+        n = struct.unpack_from(f"{order}I", data, at)[0]
+        at += 4
+        parts = []
+        for _ in range(n):
+            part, at = points(at) if kind == 3 else geometry(at)
+            parts.append(part if kind == 3 else part["coordinates"])
+        return {"type": {3: "Polygon", 4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon"}[kind], "coordinates": parts}, at
+
+    try:
+        return geometry(0)[0]
+    except (struct.error, KeyError, IndexError):
+        return None
+
+
+def write_wkb(lines: list[list[tuple[float, float]]]) -> bytes:
+    """Rings as a little-endian WKB polygon."""
+    out = [struct.pack("<BII", 1, 3, len(lines))]
+    for ring in lines:
+        out.append(struct.pack(f"<I{2 * len(ring)}d", len(ring), *[v for p in ring for v in p]))
+    return b"".join(out)
+
+
+def chained(parts: list[list[tuple[float, float]]], digits: int = 6) -> list[list[tuple[float, float]]]:
+    """Parts of a line joined where exactly two of them share an end, in either direction; forks stay apart."""
+    key = lambda p: (round(p[0], digits), round(p[1], digits))
+    pool = {i: list(p) for i, p in enumerate(parts) if len(p) >= 2}
+    ends: dict[tuple[float, float], list[int]] = {}
+    for i, p in pool.items():
+        for e in (key(p[0]), key(p[-1])):
+            ends.setdefault(e, []).append(i)
+    for e in sorted(ends):
+        if len(ends[e]) != 2 or ends[e][0] == ends[e][1]:
+            continue
+        i, j = sorted(ends[e])
+        a, b = pool[i], pool.pop(j)
+        a = a if key(a[-1]) == e else a[::-1]
+        b = b if key(b[0]) == e else b[::-1]
+        pool[i] = a + b[1:]
+        for other in (key(b[-1]),):
+            ends[other] = [i if x == j else x for x in ends[other]]
+    return [pool[i] for i in sorted(pool)]

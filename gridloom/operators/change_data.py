@@ -105,9 +105,10 @@ def disambiguated(df: DataFrame, key: str, content: Sequence[str], out: str = "u
     """
     digest = F.substring(F.sha1(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in content])), 1, 10)
     same = Window.partitionBy(key, "_digest").orderBy(*content)
-    counted = df.withColumn("_digest", digest).withColumns({"_n": F.count(F.lit(1)).over(Window.partitionBy(key)), "_i": F.row_number().over(same)})
+    repeated = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    counted = df.join(repeated, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("_digest", digest).withColumn("_i", F.row_number().over(same))
     suffix = F.concat(F.lit("#"), F.col("_digest"), F.when(F.col("_i") > 1, F.concat(F.lit("."), F.col("_i").cast("string"))).otherwise(""))
-    return counted.withColumn(out, F.concat(F.col(key).cast("string"), F.when(F.col("_n") > 1, suffix).otherwise(""))).drop("_digest", "_n", "_i")
+    return counted.withColumn(out, F.concat(F.col(key).cast("string"), F.when(F.col("_n") > 1, suffix).otherwise(""))).drop("_digest", "_key", "_n", "_i")
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], value: str, tolerance: float = 1e-9) -> tuple[DataFrame, DataFrame]:

@@ -136,12 +136,41 @@ def test_geometry(spark):
     line = [(0.0, 0.0), (0.0, 1.0), (0.0, 2.0), (1.0, 2.0)]
     assert geo.simplify(line, 0.01) == [(0.0, 0.0), (0.0, 2.0), (1.0, 2.0)]
     assert geo.point_to_line_m(0.5, 0.0, [(0.0, -1.0), (0.0, 1.0)]) == pytest.approx(math.radians(0.5) * geo.EARTH_RADIUS_M)
+    assert geo.segment_in_box((-1.0, 0.5), (3.0, 0.5), (0, 0, 1, 1)) == ((0.0, 0.5), (1.0, 0.5)) and geo.segment_in_box((-1, 2), (3, 2), (0, 0, 1, 1)) is None
+    square, hole = [(0, 0), (4, 0), (4, 4), (0, 4)], [(2, 0), (4, 0), (4, 4), (2, 4)]
+    assert geo.polygon_centroid([square]) == pytest.approx((2, 2)) and geo.polygon_centroid([square, hole]) == pytest.approx((1, 2)) and geo.polygon_centroid([]) is None
+    rings = [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]]
+    assert geo.read_wkb(geo.write_wkb(rings)) == {"type": "Polygon", "coordinates": [[list(p) for p in rings[0]]]}
+    assert geo.read_wkb(None) is None and geo.read_wkb(b"\x01\x03") is None and geo.read_wkb(b"\x01\x63\x00\x00\x00\x00\x00\x00\x00") is None
+    assert geo.chained([[(0, 0), (1, 0)], [(2, 0), (1, 0)], [(5, 5), (6, 6)]]) == [[(0, 0), (1, 0), (2, 0)], [(5, 5), (6, 6)]]
     df = spark.createDataFrame([([{"lon": x, "lat": y} for x, y in line],), (None,)], f"line {geo.LINE}")
     lengths = [r[0] for r in df.select(geo.line_length_m(F.col("line"))).collect()]
     assert lengths[0] == pytest.approx(333_487, rel=2e-3)
     assert [len(r[0]) if r[0] else None for r in df.select(geo.simplified(0.01)("line")).collect()] == [3, None]
 
 
+def test_matching(spark, rows):
+    from gridloom.functions import dates
+    from gridloom.operators import matching
+
+    left, right = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "k string"), spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), ("b", 2), ("c", None)], "k string, v long")
+    assert rows(matching.unique_match(left, right, ["k"], "v")) == sorted([("a", 1), ("b", None), ("c", None), (None, None)], key=repr)
+    a = spark.createDataFrame([(1, 50.0, 0.0, "x"), (2, 50.0, 1.0, "y"), (3, None, 1.0, "y")], "a long, lat double, lon double, n string")
+    b = spark.createDataFrame([(1, 50.0005, 0.0, "x"), (2, 50.001, 0.0, "x"), (9, 50.0, 1.0001, "z")], "b long, lat double, lon double, n string")
+    same = F.when(F.col("a.n") == F.col("b.n"), 1.0).otherwise(0.0)
+    assert [r[:2] for r in rows(matching.matched_places(a, b, "a", "b", "lat", "lon", same, 500.0, 0.5))] == [(1, 1), (2, 9)]
+    assert [r[:2] for r in rows(matching.nearest_site(a, b, "a", "b", "lat", "lon", 500.0))] == [(1, 1), (2, 9)]
+    pairs = spark.createDataFrame([(1, 2, 10.0), (2, 3, 20.0)], "left long, right long, metres double")
+    places = spark.createDataFrame([(1, 0.0, 0.0001), (2, 0.0, 0.0002), (3, 0.0, 0.0004)], "node long, lat double, lon double")
+    of = lambda w: [c for _, c in rows(graph.bounded_clusters(pairs, graph.components(pairs, "left", "right"), places, w))]
+    assert (of(1_000.0), of(20.0), of(1.0)) == ([1, 1, 1], [1, 1, 3], [1, 2, 3])
+    texts = spark.createDataFrame([("2024",), ("2024-Q3",), ("2024-12",), ("2024-02-29",), ("x",), (None,)], "p string")
+    assert [str(r[0]) for r in texts.select(dates.period_end(F.col("p"))).collect()] == ["2025-01-01", "2024-10-01", "2025-01-01", "2024-03-01", "None", "None"]
+    old = spark.createDataFrame([("b1", "h", "k1"), ("b1", "h", "k2"), ("b2", "z", "k3")], "base string, h string, k string")
+    new = spark.createDataFrame([("b1", "h", "n1"), ("b3", "z", "n3")], "base string, h string, k string")
+    assert sorted(r["k"] for r in change_data.aligned_keys(old, new, "base", "h", "k").collect()) == ["k2", "k3", "n1"]
+
+
 def test_store_and_files(spark, tmp_path, rows):
     s = store.Store(spark, str(tmp_path / "store"))
     frame = spark.createDataFrame([(" 7 ", None), ("8", "x")], "id string, v string")
