@@ -8,17 +8,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def runs(df: DataFrame, keys: Sequence[str], position: Column, gap: float, bucket: float, out: str, tiebreak: Sequence[str] = ()) -> DataFrame:
+    """``df`` with ``out``: 1, 2, 3 … within the keys, a new number where ``position`` is more than ``gap`` past the row before.
+
+    Rows are ordered within (keys, bucket of ``bucket`` positions), so a key that holds a large part of all rows is cut
+    into its buckets; what goes from bucket to bucket, the last position and the number of starts, is one row a
+    bucket. Rows with a null position get null.
+    """
+    placed = df.withColumn("_p", position.cast("double")).withColumn("_b", F.floor(F.col("_p") / bucket))
+    within = Window.partitionBy(*keys, "_b").orderBy("_p", *tiebreak)
+    over_buckets = Window.partitionBy(*keys).orderBy("_b")
+    back = lambda d, *names: d.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"), *names)
+    same = F.col("_b") == F.col("_kb")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    known = placed.where("_p is not null")
+    lasts = known.groupBy(*keys, "_b").agg(F.max("_p").alias("_last"))
+    lasts = back(lasts.withColumn("_before", F.lag("_last").over(over_buckets)), "_before")
+    spare = [f"_k{i}" for i in range(len(keys))] + ["_kb"]
+    flagged = known.withColumn("_lag", F.lag("_p").over(within)).join(lasts, same).drop(*spare)
+    flagged = flagged.withColumn("_start", F.when(F.coalesce(F.col("_p") - F.coalesce("_lag", "_before") > gap, F.lit(True)), 1).otherwise(0))
+    starts = flagged.groupBy(*keys, "_b").agg(F.sum("_start").alias("_n"))
+    starts = back(starts.withColumn("_so_far", F.coalesce(F.sum("_n").over(over_buckets.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "_so_far")
+    numbered = flagged.join(starts, same).withColumn(out, F.col("_so_far") + F.sum("_start").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    lost = placed.where("_p is null").withColumn(out, F.lit(None).cast("long"))
+    columns = [*df.columns, out]
+    return numbered.select(*columns).unionByName(lost.select(*columns))
+
+
 def islands(df: DataFrame, keys: Sequence[str], index: str) -> DataFrame:
     """``df`` with ``island``: runs of consecutive whole ``index`` values within the keys share one number."""
-    return df.withColumn("island", F.col(index) - F.row_number().over(Window.partitionBy(*keys).orderBy(index)))
+    return runs(df, keys, F.col(index), 1, 4_096, "island")
 
 
-def sessions(df: DataFrame, keys: Sequence[str], at: str, gap_s: int, tiebreak: str) -> DataFrame:
+def sessions(df: DataFrame, keys: Sequence[str], at: str, gap_s: float, tiebreak: str, bucket_s: float = 86_400) -> DataFrame:
     """``df`` with ``session``: a new number whenever more than ``gap_s`` seconds passed since the row before."""
-    w = Window.partitionBy(*keys).orderBy(at, tiebreak)
     seconds = F.unix_micros(F.col(at).cast("timestamp")) / 1_000_000
-    starts = F.when(F.coalesce(seconds - F.lag(seconds).over(w) > gap_s, F.lit(True)), 1).otherwise(0)
-    return df.withColumn("_starts", starts).withColumn("session", F.sum("_starts").over(w)).drop("_starts")
+    return runs(df, keys, seconds, gap_s, bucket_s, "session", [tiebreak])
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

@@ -128,6 +128,15 @@ def test_series_and_bands(spark, rows):
     score, evidence = resolution.weighted_score({"a": (0.6, F.col("c0").cast("double")), "b": (0.4, F.col("c1").cast("double"))})
     assert one(spark, score, "0.5", None) == pytest.approx(0.5) and one(spark, evidence, "0.5", None) == pytest.approx(0.6)
     assert one(spark, score, None, None) is None
+    placed = [(rng.choice(["a", "a", "a", None]), rng.choice([None, *range(60)]), i) for i in range(300)]
+    cut = {(r["k"], r["p"], r["i"]): r["run"] for r in ranking.runs(spark.createDataFrame(placed, "k string, p long, i long"), ["k"], F.col("p"), 1, 7, "run", ["i"]).collect()}
+    for k in ("a", None):
+        number, before = 0, None
+        for p, i in sorted((p, i) for kk, p, i in placed if kk == k and p is not None):
+            number += before is None or p - before > 1
+            before = p
+            assert cut[k, p, i] == number
+    assert len(cut) == 300 and all(v is None for (k, p, i), v in cut.items() if p is None)
     win = ranking.winners(spark.createDataFrame([(1, "a", 1), (1, None, 9), (1, "b", 2)], "g long, f string, r long"), ["g"], {"f": F.col("r")})
     assert rows(win) == [(1, "b")]
 
