@@ -63,9 +63,13 @@ def _block(c: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
 
 
+def _blocks(count: int, per_block: int) -> int:
+    return math.ceil(math.sqrt(2 * count / per_block)) if count > per_block else 1
+
+
 def _round(edges: DataFrame, count: int, per_block: int) -> DataFrame:
     """(vertex, reps, own) after the local union-find and the exchange; reps are sorted."""
-    blocks = max(1, math.ceil(math.sqrt(2 * count / per_block)) if count > per_block else 1)
+    blocks = _blocks(count, per_block)
     gridded = edges.withColumns({"bu": _block(F.col("u"), blocks), "bv": _block(F.col("v"), blocks)})
     gridded = gridded.select("u", "v", F.least("bu", "bv").alias("row"), F.greatest("bu", "bv").alias("col"))
     if blocks == 1:
@@ -92,6 +96,8 @@ def component_roots(edges: DataFrame, per_block: int = EDGES_PER_BLOCK) -> DataF
         state = materialise(_round(edges, count, per_block), "components")
         leaf = (F.size("reps") > 0) & (F.col("own") == 0)
         parents.append(state.where(leaf).select("vertex", F.col("reps")[0].alias("root")))
+        if _blocks(count, per_block) == 1:
+            break  # one partition saw every edge, so every vertex has its root
         links = F.concat(
             F.transform(F.slice("reps", 2, F.greatest(F.size("reps") - 1, F.lit(0))), lambda r: F.struct(F.col("reps")[0].alias("u"), r.alias("v"))),
             F.when((F.col("own") == 1) & (F.size("reps") > 0), F.array(F.struct(F.col("reps")[0].alias("u"), F.col("vertex").alias("v")))).otherwise(F.array()),
