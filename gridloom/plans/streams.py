@@ -53,9 +53,9 @@ def events_once(spark: SparkSession, d: str) -> DataFrame:
 WITH o AS (SELECT user_id, epoch_us(ts) AS at_us, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS before FROM events)
 SELECT user_id, at_us, before, event_type AS after FROM o WHERE before IS DISTINCT FROM event_type""")
 def stream_state_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Changes of each user's last event type, from keyed state."""
+    """Changes of each user's last event type, in time order; as in the SQL no row is late."""
     stream = st.read_table_stream(spark, d, "events")
-    return st.drain(st.state_changes(stream, "user_id", "ts", "event_type"), "update", "changes").withColumnRenamed("key", "user_id")
+    return st.drain(st.state_changes(stream, "user_id", "ts", "event_type", late=None), "update", "changes").withColumnRenamed("key", "user_id")
 
 
 @REG.add("provenance_stamp", "SELECT 'case:' || trim(CAST(case_id AS VARCHAR)) AS record_id, 'faa' AS source_id, sha1(coalesce(study_asn, chr(0)) || chr(31) || coalesce(structure_city, chr(0))) AS content FROM faa_cases")

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from gridloom.session import checkpoint_root
 
@@ -41,31 +41,83 @@ def once(stream: DataFrame, key: str, at: str, late: str = "1 day") -> DataFrame
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
-def state_changes(stream: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """(key, at_us, before, after): a row whenever a key's value moves; state holds the last value and time of each key.
+@dataclass(frozen=True)
+class Changes:
+    """A stream of (key, at_us, value) whose moves ``drain`` finds in time order, and how late a row may come.
 
-    Within a batch rows are taken in time order; rows older than the state change nothing, whichever batch brings them.
+    Each batch keeps its rows in the folder ``rows``. Once the watermark (newest time less ``late``) has passed them they
+    are ordered by key and time, and ``last`` takes each key's last value; what is open at the end follows then. The
+    order is made by Spark's sort, which spills, so no key has to fit in memory. What a batch writes depends on earlier
+    batches only, so it may be run again.
     """
-    schema = f"key {dict(stream.dtypes)[key]}, at_us long, before string, after string"
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, seen = state.get if state.exists else (None, -(1 << 62))
-        out = []
-        for pdf in batches:
-            for us, v in pdf.sort_values(["at_us", "value"])[["at_us", "value"]].itertuples(index=False):
-                if us < seen:
-                    continue
-                if v != last:
-                    out.append((k[0], us, last, v))
-                last, seen = v, us
-        state.update((last, seen))
-        yield pd.DataFrame(out, columns=["key", "at_us", "before", "after"])
-
-    rows = stream.select(F.col(key).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("at_us"), F.col(value).cast("string").alias("value")).where("value is not null")
-    return rows.groupBy("key").applyInPandasWithState(step, schema, "last string, seen long", "update", GroupStateTimeout.NoTimeout)
-
-
-def drain(stream: DataFrame, mode: str, label: str, each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+
+    rows: DataFrame
+    late: str | None
+
+    @property
+    def sparkSession(self) -> SparkSession:  # noqa: N802
+        return self.rows.sparkSession
+
+    @property
+    def schema(self) -> StructType:
+        return StructType([StructField("key", self.rows.schema["key"].dataType), StructField("at_us", LongType()), StructField("before", StringType()), StructField("after", StringType())])
+
+    def _with_batch(self, *names: str) -> StructType:
+        return StructType([*[self.rows.schema[n] for n in names], StructField("batch", IntegerType())])
+
+    def _held(self, spark: SparkSession, root: str, end: int) -> DataFrame:
+        return spark.read.schema(self._with_batch("key", "at_us", "value")).parquet(f"{root}/rows").where(F.col("batch") < end)
+
+    def _watermark(self, spark: SparkSession, root: str, end: int) -> int | None:
+        """Of the batches before ``end``; no row at or before it comes any more."""
+        if self.late is None or not end:
+            return None
+        return self._held(spark, root, end).agg(F.expr(f"unix_micros(timestamp_micros(max(at_us)) - INTERVAL '{self.late}')")).first()[0]
+
+    def _moves(self, due: DataFrame, root: str, end: int) -> DataFrame:
+        """The moves of ``due`` from the last values of the batches before ``end``."""
+        ordered = due.select("key", "at_us", "value", F.lit(1).alias("due"))
+        if self.late is not None and end:
+            last = due.sparkSession.read.schema(self._with_batch("key", "value")).parquet(f"{root}/last").where(F.col("batch") < end)
+            last = last.groupBy("key").agg(F.max(F.struct("batch", "value")).alias("l"))
+            ordered = ordered.unionByName(last.select("key", F.lit(None).cast("long").alias("at_us"), F.col("l.value").alias("value"), F.lit(0).alias("due")))
+        w = Window.partitionBy("key").orderBy("due", F.asc_nulls_last("at_us"), F.asc_nulls_last("value"))
+        moves = ordered.withColumn("before", F.lag("value").over(w)).where((F.col("due") == 1) & ~F.col("before").eqNullSafe(F.col("value")))
+        return moves.select("key", "at_us", "before", F.col("value").alias("after"))
+
+    def closed(self, df: DataFrame, root: str, batch: int) -> DataFrame:
+        """Keep a batch but for its late rows; the moves that the watermark has passed with it."""
+        spark = df.sparkSession
+        before = self._watermark(spark, root, batch)
+        fresh = df if before is None else df.where(F.col("at_us").isNull() | (F.col("at_us") > before))
+        fresh.write.mode("overwrite").parquet(f"{root}/rows/batch={batch}")
+        now = self._watermark(spark, root, batch + 1)
+        due = self._held(spark, root, batch + 1).where(F.lit(False) if now is None else F.col("at_us") <= now)
+        due = due if before is None else due.where(F.col("at_us") > before)
+        if self.late is not None:
+            last = F.max(F.struct("at_us", F.col("value").isNull().alias("none"), "value"))
+            due.groupBy("key").agg(last.alias("l")).select("key", "l.value").write.mode("overwrite").parquet(f"{root}/last/batch={batch}")
+        return self._moves(due, root, batch)
+
+    def open(self, root: str) -> DataFrame:
+        """The moves after the last watermark; rows without a time come last."""
+        spark, end = self.sparkSession, 1 << 30
+        mark = self._watermark(spark, root, end)
+        held = self._held(spark, root, end)
+        return self._moves(held if mark is None else held.where(F.col("at_us").isNull() | (F.col("at_us") > mark)), root, end)
+
+
+def state_changes(stream: DataFrame, key: str, at: str, value: str, late: str | None = "0 seconds") -> Changes:
+    """(key, at_us, before, after), once drained: a row whenever a key's value moves.
+
+    Rows are taken in time order, equal times by value and nulls last, however batches and partitions bring them. A row
+    at or before the watermark, which is ``late`` behind the newest row of earlier batches, changes nothing; with None no
+    row is late, and all of them are held until the end.
+    """
+    return Changes(stream.select(F.col(key).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("at_us"), F.col(value).cast("string").alias("value")), late)
+
+
+def drain(stream: DataFrame | Changes, mode: str, label: str, each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """Run a stream over all that is there and give its result table; ``complete`` keeps the last result, others append.
 
     Output and offsets lie in the shared checkpoint folder, so a restart goes on where it stopped.
@@ -73,6 +125,7 @@ def drain(stream: DataFrame, mode: str, label: str, each: Callable[[DataFrame, i
     spark = stream.sparkSession
     root = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
     schema = stream.schema
+    changes = isinstance(stream, Changes)
 
     def keep(df: DataFrame, batch: int) -> None:
         # Each batch has its own folder, so a batch that is run again replaces what it wrote.
@@ -81,8 +134,13 @@ def drain(stream: DataFrame, mode: str, label: str, each: Callable[[DataFrame, i
         if each:
             each(df, batch)
 
-    writer = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True)
+    def ordered(df: DataFrame, batch: int) -> None:
+        keep(stream.closed(df, root, batch), batch)
+
+    writer = (stream.rows if changes else stream).writeStream.outputMode(mode).foreachBatch(ordered if changes else keep).option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True)
     writer.start().awaitTermination()
+    if changes:
+        keep(stream.open(root), -1)
     return spark.read.schema(schema).parquet(f"{root}/out").select(*[f.name for f in schema])
 
 
