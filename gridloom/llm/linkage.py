@@ -197,8 +197,14 @@ def neighbour_pairs(rows: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _may_share_town(a: Column, b: Column) -> Column:
-    """Cheap test before the comparison: a missing town, or towns within the edits that ``likeness`` forgives."""
-    return (a == "") | (b == "") | (F.levenshtein(a, b) <= F.greatest(F.length(a), F.length(b)) * 0.4)
+    """Cheap test before the comparison: a missing town, or towns that ``likeness`` may find alike enough.
+
+    Only pairs of confidence 0 fail it: a town counts up to ``forgiven`` edits, each of which changes the length by one
+    at most and is one or, for a swap, two edits without swaps.
+    """
+    most = F.floor(F.greatest(F.length(a), F.length(b)) * F.lit(0.4))
+    forgiven = F.floor((most + 1) * 3 / 5)  # 1 - edits / (most + 1) >= SAME_TOWN / 2
+    return (a == "") | (b == "") | ((F.abs(F.length(a) - F.length(b)) <= forgiven) & (F.levenshtein(a, b) <= forgiven * 2))
 
 
 def scored_pairs(rows: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -211,7 +217,12 @@ def scored_pairs(rows: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(a, s, b, *compare_words(w1.split(), t1, c1, w2.split(), t2, c2)) for a, s, b, w1, t1, c1, w2, t2, c2 in pdf.itertuples(index=False, name=None)]
+            # Towns too unlike give confidence 0 whatever the rest, so those pairs are left out before names are compared.
+            out = [
+                (a, s, b, *compare_words(w1.split(), t1, c1, w2.split(), t2, c2))
+                for a, s, b, w1, t1, c1, w2, t2, c2 in pdf.itertuples(index=False, name=None)
+                if not t1 or not t2 or likeness(t1, t2) >= SAME_TOWN / 2
+            ]
             yield pd.DataFrame(out, columns=["left_id", "right_side", "right_id", "confidence", "name_sim", "town_sim", "capacity_sim"])
 
     return flat.mapInPandas(run, "left_id long, right_side int, right_id long, confidence double, name_sim double, town_sim double, capacity_sim double")

@@ -9,8 +9,9 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from gridloom.llm.linkage import ACCEPT, assign, best_assignment, compare, distance, town_key
+from gridloom.llm.linkage import ACCEPT, _may_share_town, assign, best_assignment, compare, distance, town_key
 from gridloom.llm.p2_plants import plant_pairs
 
 LABELS = Path("/root/testdata/sf0.001/ethanol_match_labels.parquet")
@@ -72,3 +73,27 @@ def test_plants(spark, rows):
     B = spark.createDataFrame(b, "capacity_id long, name_b string, city_b string, state string, capacity_b double")
     assert rows(plant_pairs(A, B).select("atlas_id", "capacity_id")) == [(1, 11), (2, 11), (3, 12), (7, 13)]
     assert rows(plant_pairs(A.limit(0), B)) == [] and rows(plant_pairs(A, B.limit(0))) == []
+
+
+def test_town_filter_keeps_all_that_the_comparison_accepts(spark, rows):
+    A = spark.createDataFrame([(1, "Limdubel Firtumar Inc", "Erie", "CO", 40.0)], "atlas_id long, name_a string, city_a string, state string, capacity_a double")
+    B = spark.createDataFrame([(11, "Limdubel Firtumar Inc", "Eire", "CO", 40.0)], "capacity_id long, name_b string, city_b string, state string, capacity_b double")
+    assert rows(plant_pairs(A, B).select("atlas_id", "capacity_id")) == [(1, 11)]
+    rng = random.Random(10)
+    towns = []
+    for _ in range(3_000):
+        a = [rng.choice("abcde") for _ in range(rng.randrange(1, 16))]
+        b = list(a)
+        for _ in range(rng.randrange(7)):
+            i = rng.randrange(len(b))
+            kind = rng.randrange(4)
+            if kind == 0 and i:
+                b[i - 1], b[i] = b[i], b[i - 1]
+            elif kind == 1 and len(b) > 1:
+                del b[i]
+            else:
+                b[i : i + (kind == 2)] = rng.choice("abcde")
+        towns.append(("".join(a), "".join(b)))
+    kept = spark.createDataFrame(towns, "a string, b string").where(_may_share_town(F.col("a"), F.col("b"))).collect()
+    cut = set(towns) - {tuple(r) for r in kept}
+    assert cut and all(compare("Limdubel", a, 40.0, "Limdubel", b, 40.0)[0] == 0 for a, b in cut)
