@@ -31,9 +31,10 @@ def sliding(stream: DataFrame, at: str, width: str, step: str, keys: list[str],
     return stream.withWatermark(at, late).groupBy(F.window(at, width, step), *keys).agg(F.count(F.lit(1)).alias("events"))
 
 
-def session_windows(stream: DataFrame, at: str, gap: str, keys: list[str], late: str = "1 hour") -> DataFrame:
-    """(keys, session_window, events): a session ends after ``gap`` without a row."""
-    return stream.withWatermark(at, late).groupBy(F.session_window(at, gap), *keys).agg(F.count(F.lit(1)).alias("events"))
+def session_windows(stream: DataFrame, at: str, gap: str, keys: list[str], late: str | None = "1 hour") -> DataFrame:
+    """(keys, session_window, events): a session ends after ``gap`` without a row; with ``late`` None no row is late."""
+    rows = stream if late is None else stream.withWatermark(at, late)
+    return rows.groupBy(F.session_window(at, gap), *keys).agg(F.count(F.lit(1)).alias("events"))
 
 
 def once(stream: DataFrame, key: str, at: str, late: str = "1 day") -> DataFrame:

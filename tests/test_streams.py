@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
-from gridloom.plans.streams import stream_state_changes
+from gridloom.plans.streams import events_session, stream_state_changes
 from gridloom.streaming import events as st
 
 START = datetime(2024, 1, 1)
@@ -57,3 +57,21 @@ def test_late_rows_are_those_behind_the_watermark(spark, tmp_path):
     out = st.drain(st.state_changes(stream, "k", "at", "v", late="10 seconds"), "update", "t", lambda df, batch: seen.append((batch, df.count())))
     assert got(out, "key") == walked([r for b in batches for r in b if r[2] != "gone"])
     assert seen == [(0, 1), (1, 2), (2, 2), (3, 0), (-1, 1)]
+
+
+def test_sessions_are_drained_from_a_stream(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    hours = [(k, h) for k in (1, 2) for h in rng.sample(range(20_000), 400)]
+    hours.sort(key=lambda r: -r[1])
+    written(spark, tmp_path, "events", [[(k, START + timedelta(hours=h)) for k, h in hours[i::9] if i % 2 or h > 9_000] + [(k, START + timedelta(hours=h)) for k, h in hours[i - 1 :: 9] if i and not i % 2 and h < 500] for i in range(9)], "user_id long, ts timestamp_ntz")
+    drained, drain = [], st.drain
+    monkeypatch.setattr(st, "drain", lambda stream, mode, *a: drained.append((stream.isStreaming, mode)) or drain(stream, mode, *a))
+    got = sorted(map(tuple, events_session(spark, str(tmp_path)).collect()))
+    expected, last = [], {}
+    for k, at in sorted((r["user_id"], r["ts"]) for r in spark.read.parquet(str(tmp_path / "events.parquet")).collect()):
+        if k not in last or at - last[k] >= timedelta(hours=12):
+            expected.append([k, (at - START) // timedelta(microseconds=1) + 1704067200000000, 0])
+        expected[-1][2] += 1
+        last[k] = at
+    assert got == [tuple(r) for r in expected]
+    assert drained == [(True, "complete")]
