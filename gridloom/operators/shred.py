@@ -1,8 +1,8 @@
 """Nested JSON records to related flat tables through an adjacency table.
 
 ``shred`` stores every node of every record once: node, parent, label, ordinal, kind, scalar and the paths. Object nodes
-then meet their scalar children, and the children are pivoted into the columns of an entity table (``entities``). The
-join is one aggregation by (record, object node) over a single pass of the adjacency table, so records are parsed once
+then meet their scalar children, and the children are pivoted into the columns of an entity table: their codes alone
+over all entities (``entities``), or every scalar below an element (``entity_table``). The join is one aggregation by (record, object node) over a single pass of the adjacency table, so records are parsed once
 and one shuffle carries only the nodes that an entity needs.
 """
 
@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NODE_SCHEMA = "doc long, node int, parent int, label string, ordinal int, kind string, scalar string, path string, owner_path string, shape string"
+NODE_SCHEMA = "doc long, node int, parent int, label string, ordinal int, kind string, scalar string, path string, owner_path string, shape string, element int"
 
 
 @dataclass(frozen=True)
@@ -27,11 +27,13 @@ class Shape:
     lists: where a list is usual, so a lone value is position 0; splits: where a text is a joined list, and its
     separator; lone_root: (field, shape, markers): an object without ``field`` that has one of ``markers`` is itself
     an element of ``shape`` with path ``$``, which is left out of the paths below it.
+    elements: shapes of the objects and scalars that nodes note as the nearest element at or above them.
     """
 
     lists: frozenset[str] = frozenset()
     splits: Mapping[str, str] = field(default_factory=dict)
     lone_root: tuple[str, str, tuple[str, ...]] | None = None
+    elements: frozenset[str] = frozenset()
 
 
 def decode(text: str | None) -> object:
@@ -48,9 +50,9 @@ def decode(text: str | None) -> object:
 
 
 def nodes_of(value: object, shape: Shape) -> Iterator[tuple]:
-    """Rows (node, parent, label, ordinal, kind, scalar, path, owner_path, shape) of one record, parents first.
+    """Rows (node, parent, label, ordinal, kind, scalar, path, owner_path, shape, element) of one record, parents first.
 
-    owner_path is the path of the nearest object above. Iterative, so no depth is too great.
+    owner_path is the path of the nearest object above, element the node of the nearest element at or above, or -1. Iterative, so no depth is too great.
     """
     counter = 0
     path, shape_path = "", ""
@@ -58,13 +60,15 @@ def nodes_of(value: object, shape: Shape) -> Iterator[tuple]:
         key, at, markers = shape.lone_root
         if key not in value and any(m in value for m in markers):
             path, shape_path = "$", at
-    stack: list[tuple] = [(value, -1, "", None, path, "", shape_path)]
+    stack: list[tuple] = [(value, -1, "", None, path, "", shape_path, -1)]
     while stack:
-        value, parent, label, ordinal, path, owner, shape_path = stack.pop()
+        value, parent, label, ordinal, path, owner, shape_path, element = stack.pop()
         node = counter
         counter += 1
+        if shape_path in shape.elements and not isinstance(value, list) and value not in (None, "", {}):
+            element = node
         if isinstance(value, dict):
-            yield node, parent, label, ordinal, "object" if value else "empty", None, path, owner, shape_path
+            yield node, parent, label, ordinal, "object" if value else "empty", None, path, owner, shape_path, element
             below = "" if path in ("", "$") else path + "."
             deeper = f"{shape_path}." if shape_path else ""
             for k, v in reversed(value.items()):
@@ -73,15 +77,15 @@ def nodes_of(value: object, shape: Shape) -> Iterator[tuple]:
                     v = v.split(shape.splits[at])
                 if at in shape.lists and v is not None and not isinstance(v, list):
                     v = [v]
-                stack.append((v, node, k, None, below + k, path, at))
+                stack.append((v, node, k, None, below + k, path, at, element))
         elif isinstance(value, list):
-            yield node, parent, label, ordinal, "array" if value else "empty", None, path, owner, shape_path
+            yield node, parent, label, ordinal, "array" if value else "empty", None, path, owner, shape_path, element
             for i in range(len(value) - 1, -1, -1):
-                stack.append((value[i], node, label, i, f"{path}[{i}]", owner, shape_path))
+                stack.append((value[i], node, label, i, f"{path}[{i}]", owner, shape_path, element))
         else:
             text = {True: "true", False: "false"}.get(value, value) if isinstance(value, bool) else value
             text = text.strip() if isinstance(text, str) else text if text is None else str(text)
-            yield node, parent, label, ordinal, "scalar" if text else "empty", text or None, path, owner, shape_path
+            yield node, parent, label, ordinal, "scalar" if text else "empty", text or None, path, owner, shape_path, element
 
 
 def shred(records: DataFrame, key: str, text: str, shape: Shape, keep: Sequence[str] | None = None) -> DataFrame:
@@ -109,7 +113,7 @@ def shred(records: DataFrame, key: str, text: str, shape: Shape, keep: Sequence[
                         rows.append((doc, *row))
                         at.append(i)
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), *[pa.string()] * 5]
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), *[pa.string()] * 5, pa.int32()]
             keys = batch.column(0).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([keys, *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=["key", *names])
 
@@ -154,3 +158,32 @@ def entities(nodes: DataFrame, specs: Sequence[Entity]) -> DataFrame:
         F.col("e.key").alias("key"), F.element_at(name_of, F.col("e.shape")).alias("entity"), F.col("e.owner_path").alias("parent_path"),
         F.col("e.path").alias("node_path"), F.coalesce("code", own_code, F.lit("")).alias("node_code"),
     )
+
+
+def entity_table(nodes: DataFrame, spec: Entity, fields: Sequence[str], lists: Sequence[str] = ()) -> DataFrame:
+    """(key, parent_path, node_path, text, a column for each of ``fields`` and ``lists``, more) of one entity's elements.
+
+    The whole adjacency table is read, with the entity's shapes among ``Shape.elements``. Fields are the labels below the
+    element, joined by points, and name their column with _ for them; ``lists`` become arrays. A scalar element has its
+    value in text, and in its code if it is one. Every other scalar that has this element as its nearest is in
+    ``more`` (field, path, value), as are the values of a list under a name of ``fields``.
+    """
+    itself = F.struct("key", "shape", "path", "owner_path", "scalar")
+    below = (F.col("kind") == "scalar") & (F.col("node") != F.col("element"))
+    # A group holds the scalars of one element, without those of the elements below it.
+    grouped = (
+        nodes.where((F.col("element") >= 0) & ((F.col("node") == F.col("element")) | below))
+        .groupBy("doc", "element")
+        .agg(F.max(F.when(F.col("node") == F.col("element"), itself)).alias("e"), F.sort_array(F.collect_list(F.when(below, F.struct("node", "shape", "ordinal", "path", "scalar")))).alias("kids"))
+        .where(F.col("e.shape").isin(*spec.shapes))
+    )
+    start = F.when(F.col("e.shape") == "", F.lit(1)).otherwise(F.length("e.shape") + 2)
+    kids = F.transform("kids", lambda k: F.struct(F.substring(k["shape"], start, F.length(k["shape"])).alias("field"), k["path"].alias("path"), k["scalar"].alias("value"), k["ordinal"].isNotNull().alias("listed")))
+    rows = grouped.withColumn("kids", kids)
+    of = lambda f, one: F.transform(F.filter("kids", lambda k: (k["field"] == f) & ~(F.lit(one) & k["listed"])), lambda k: k["value"])
+    columns = {f.replace(".", "_"): F.try_element_at(of(f, True), F.lit(1)) for f in fields} | {f.replace(".", "_"): of(f, False) for f in lists}
+    if spec.scalar_is_code:
+        columns[spec.code] = F.coalesce(columns[spec.code], "e.scalar")
+    rest = F.filter("kids", lambda k: ~k["field"].isin(*fields, *lists) | k["field"].isin(*fields) & k["listed"])
+    more = F.transform(rest, lambda k: F.struct(k["field"].alias("field"), k["path"].alias("path"), k["value"].alias("value")))
+    return rows.select(F.col("e.key").alias("key"), F.col("e.owner_path").alias("parent_path"), F.col("e.path").alias("node_path"), F.col("e.scalar").alias("text"), *[c.alias(n) for n, c in columns.items()], more.alias("more"))

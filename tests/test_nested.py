@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from gridloom.operators.shred import Shape, decode, nodes_of, shred
-from gridloom.plans.p5_nested import notice_entities
+from gridloom.plans.p5_nested import TABLES, WHOLE, notice_entities, notice_table
 
 SEARCH = {"data": {"searchParams": {"agencies": "A-1||B-2"}, "oppHits": [{"id": 7, "cfdaList": "10.5"}, None, {}, {"id": None, "cfdaList": ["1", "", None, "2"]}, {"id": "x", "cfdaList": []}]}}
 PACKAGE = {"releases": [{"ocid": "o-1", "buyer": "Name only", "tender": {"lots": {"id": "L1", "items": [{"id": 1, "additionalClassifications": {"id": "c"}}, {}]}, "items": [{"classification": {"id": "no"}, "additionalClassifications": None}]}}, {}]}
@@ -54,3 +54,20 @@ def test_adjacency_holds_the_whole_record(spark):
 
 def test_numbers_stay_as_written():
     assert decode('{"x": 1.50, "y": 12345678901234567890}') == {"x": "1.50", "y": "12345678901234567890"}
+
+
+def test_entity_tables_hold_every_scalar_once(spark, rows):
+    package = {"version": "1.1", "releases": [{"ocid": "o", "tag": ["a", "b"], "buyer": "B", "odd": {"x": [{"y": 5}]}, "tender": {"title": "T", "value": {"amount": 1.50}, "items": [{"id": 1, "classification": {"id": "c"}, "deliveryAddresses": [{"region": "R"}]}]}}]}
+    hits = {"data": {"oppHits": [{"id": 7, "title": "t", "closeDate": "", "agencyCode": ["p", "q"], "cfdaList": "10.5"}], "searchParams": {"agencies": "A|B"}}}
+    df = spark.createDataFrame([(1, json.dumps(package)), (2, json.dumps(hits)), (3, json.dumps(LONE)), (4, "{")], "raw_id long, payload string")
+    release = notice_table(df, "release").select("raw_id", "node_path", "ocid", "tag", "tender_title", "tender_value_amount", "more")
+    assert rows(release) == [(1, "releases[0]", "o", ["a", "b"], "T", "1.5", [("odd.x.y", "releases[0].odd.x[0].y", "5")]), (3, "$", "o-2", [], None, None, [])]
+    assert rows(notice_table(df, "opp_hit").select("id", "title", "closeDate", "agencyCode", "more")) == [("7", "t", None, None, [("agencyCode", "data.oppHits[0].agencyCode[0]", "p"), ("agencyCode", "data.oppHits[0].agencyCode[1]", "q")])]
+    assert rows(notice_table(df, "item").select("parent_path", "id", "classification_id")) == [("releases[0].tender", "1", "c")]
+    assert rows(notice_table(df, "cfda").select("parent_path", "number")) == [("data.oppHits[0]", "10.5")]
+    total = 0
+    for name in TABLES:
+        for r in notice_table(df, name).collect():
+            named = [v for k, v in r.asDict().items() if k not in ("raw_id", "parent_path", "node_path", "text", "more") and v is not None and not (r["text"] and v == r["text"])]
+            total += sum(len(v) if isinstance(v, list) else 1 for v in named) + len(r["more"]) + (r["text"] is not None)
+    assert total == sum(n[4] == "scalar" for p in (package, hits, LONE) for n in nodes_of(decode(json.dumps(p)), WHOLE))
