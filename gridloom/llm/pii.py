@@ -2,8 +2,8 @@
 
 Transducers rewrite a text into a plain form and remember where each rewritten character came from: homoglyphs and
 odd dashes or blanks one for one, entities, damaged encodings, zero-width characters, doubled blanks and hyphenated
-line ends many for one. Detectors run on the plain form, where at/dot disguises and spelled digits are read as such,
-and their spans are mapped back to the source characters, so every offset is a code point position of the source.
+line ends many for one. Detectors run on the plain form, where at/dot disguises are read as such and spoken
+numbers of four languages stand as figures, and their spans are mapped back to the source characters, so every offset is a code point position of the source.
 
 One automaton passes over each text and stops only at cues (labels, titles, street words, at signs); each cue starts
 one anchored pattern. Numbers are found by one pattern and told apart by their shape and by the label before them.
@@ -14,8 +14,9 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
+from itertools import repeat
 
 import ahocorasick
 import pyarrow as pa
@@ -104,6 +105,101 @@ class Plain:
         return left, end + (self._shift[j - 1] if j else 0)
 
 
+def _spoken_numbers() -> dict[str, str]:
+    """Spoken numbers from 0 to 99 in four languages, with the figures each stands for."""
+    out: dict[str, str] = {}
+    plain = (
+        "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen",
+        "null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn",
+        "zéro un deux trois quatre cinq six sept huit neuf dix onze douze treize quatorze quinze seize dix-sept dix-huit dix-neuf",
+        "cero uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve"
+        " veinte veintiuno veintidós veintitrés veinticuatro veinticinco veintiséis veintisiete veintiocho veintinueve",
+    )
+    en, de, fr, es = (w.split() for w in plain)
+    for words in (en, de, fr, es):
+        out |= {w: str(i) for i, w in enumerate(words)}
+    out |= {"oh": "0", "nought": "0", "zwo": "2", "fuenf": "5", "zwoelf": "12", "une": "1", "veintidos": "22", "veintitres": "23", "dieciseis": "16", "veintiseis": "26"}
+    for i, (e, d) in enumerate(zip("twenty thirty forty fifty sixty seventy eighty ninety".split(), "zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig".split(), strict=True), 2):
+        out |= {e: f"{i}0", d: f"{i}0", d.replace("ß", "ss"): f"{i}0"}
+        for k in range(1, 10):
+            unit = ("ein" if k == 1 else de[k]) + "und"
+            out |= {f"{e}-{en[k]}": f"{i}{k}", f"{e} {en[k]}": f"{i}{k}", unit + d: f"{i}{k}", unit + d.replace("ß", "ss"): f"{i}{k}"}
+    for i, w in enumerate("treinta cuarenta cincuenta sesenta setenta ochenta noventa".split(), 3):
+        out |= {w: f"{i}0"} | {f"{w} y {es[k]}": f"{i}{k}" for k in range(1, 10)}
+    for i, w, most in ((2, "vingt", 9), (3, "trente", 9), (4, "quarante", 9), (5, "cinquante", 9), (6, "soixante", 19), (8, "quatre-vingt", 19)):
+        out |= {w: f"{i}0", w + "s": f"{i}0"} if i == 8 else {w: f"{i}0"}
+        for k in range(1, most + 1):
+            out |= {f"{w}{join}{fr[k]}": str(10 * i + k) for join in (("-", " et ", "-et-") if k in (1, 11) else ("-",) if i == 8 or k > 9 else ("-", " "))}
+    return out
+
+
+_SPOKEN = _spoken_numbers()
+_TIMES = {"double": 2, "triple": 3, "doble": 2, "doppel": 2}
+_SAID = rf"(?:(?:{'|'.join(_TIMES)})[ -]?)?(?:{'|'.join(sorted(map(re.escape, _SPOKEN), key=len, reverse=True))})(?!\w)"
+_BETWEEN = r"(?:\s?[,./-]\s?|\s)"
+_RUN = re.compile(rf"(?<![\w.,/+-])(?:(?:plus|más)\s|\+\s?)?(?:{_SAID}|\d+)(?:{_BETWEEN}(?:{_SAID}|\d+))+(?!\w)", re.I)
+_PART = re.compile(rf"(?P<plus>plus|más|\+)|(?P<times>{'|'.join(_TIMES)})[ -]?|(?P<said>{_SAID})|(?P<figures>\d+)", re.I)
+_TOKEN = re.compile(r"[^\W\d_]+|\d+")
+#: Words that spoken numbers are made of as 1, and any figures as 2 (``_speaks`` reads them as 0).
+_TOKENS = {w: b"\1" for n in (*_SPOKEN, *_TIMES) for w in _TOKEN.findall(n) if w not in ("et", "y")} | {"0": b"\2"}
+_FIGURES = re.compile(r"\d+")
+
+
+def _speaks(t: str) -> bool:
+    """Whether a word of a spoken number is next to another or to figures, which holds for few texts."""
+    words = _TOKEN.findall(_FIGURES.sub("0", t.lower()))
+    if _TOKENS.keys().isdisjoint(words):
+        return False
+    row = b"".join(map(_TOKENS.get, words, repeat(b"\0")))
+    return b"\1\1" in row or b"\1\2" in row or b"\2\1" in row
+
+
+def _figures(run: str) -> str | None:
+    """The figures of a spoken run of at least seven, three of them spoken; None for anything shorter."""
+    out, spoken, times = [], 0, 1
+    for m in _PART.finditer(run):
+        if m["plus"]:
+            out.append("+")
+        elif m["times"]:
+            times = _TIMES[m["times"].lower()]
+        elif m["said"]:
+            out.append(_SPOKEN[m["said"].lower()] * times)
+            spoken += len(out[-1])
+            times = 1
+        else:
+            out.append(m["figures"] * times)
+            times = 1
+    new = "".join(out)
+    return new if spoken >= 3 and len(new.lstrip("+")) >= 7 else None
+
+
+def spoken_to_figures(t: str) -> tuple[str, list[tuple[int, int, int, int]]]:
+    """``t`` with spoken numbers as figures, and for each its (start, end) there and (start, end) in ``t``."""
+    if not _speaks(t):
+        return t, []
+    parts, runs, done, length = [], [], 0, 0
+    for m in _RUN.finditer(t):
+        if (new := _figures(m.group())) is None:
+            continue
+        parts += [t[done : m.start()], new]
+        length += m.start() - done
+        runs.append((length, length + len(new), *m.span()))
+        length += len(new)
+        done = m.end()
+    return "".join([*parts, t[done:]]), runs
+
+
+def _unspoken(runs: list[tuple[int, int, int, int]], start: int, end: int) -> tuple[int, int]:
+    """A span of the text with figures in the text before; a run that it touches is taken whole."""
+    left, right = start, end
+    for a, b, source, stop in runs:
+        if a >= end:
+            break
+        left = source if a <= start < b else start + stop - b if start >= b else left
+        right = stop if a < end <= b else end + stop - b if end > b else right
+    return left, right
+
+
 # --- patterns ------------------------------------------------------------------------------------------------------
 
 _U, _L = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
@@ -138,6 +234,14 @@ _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 _DOMAIN = re.compile(rf"{_AT}({_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[A-Za-z]{{2,}})(?![\w])")
 _LOCAL = re.compile(rf"(?:^|(?<=[^\w.+%'-]))[A-Za-z0-9_+%-](?:[A-Za-z0-9_.+%'-]|\s?[\[({{<]\s?(?:dot|DOT|punto)\s?[\])}}>]\s?|\s(?:dot|DOT)\s)*$")
 _WORDED = re.compile(rf"(?:^|(?<=[^\w.+%'-]))([A-Za-z0-9_+%-](?:[A-Za-z0-9_.+%-]|\s(?:dot|DOT)\s(?=\S))*)\s(?:at|AT|arroba)\s({_LABEL}(?:{_DOT}{_LABEL})*(?:\s(?:dot|DOT|punto)\s|\s?[\[({{<]\s?(?:dot|DOT)\s?[\])}}>]\s?){_LABEL}(?:{_DOT}{_LABEL})*)(?!\w)")
+#: The same in the words of other languages; the point is one only with that language's at sign.
+_WORDED_ALSO = re.compile(
+    "|".join(
+        rf"(?:^|(?<=[^\w.+%'-]))[A-Za-z0-9_+%-](?:[A-Za-z0-9_.+%-]|\s{dot}\s(?=\S))*\s(?:{at})\s{_LABEL}(?:(?:\.|\s{dot}\s){_LABEL})*\s{dot}\s[A-Za-z]{{2,}}(?!\w)"
+        for at, dot in (("arroba", "punto"), ("arobase|arrobase", "point"), ("at|ät|klammeraffe", "punkt"))
+    ),
+    re.I,
+)
 
 _NUMBER = re.compile(r"(?<![\w.,/$£€#-])(?:\+\s?|\()?(?=[\d ./()-]{7})\d+(?:(?:[ ./-]|\)[ -]?| ?\(| / )\(?\d+\)?)*(?![\w])")
 _NO_DIGIT = re.compile(r"\D+")
@@ -166,7 +270,6 @@ _ID_AFTER = re.compile(
     r"(?:[\s:.]|n°|no\.?|No\.?|nº|number|NUMBER|NO\.?|Nr\.?|num\.?|número|numéro|de|ist|is|lautet|:)*?\s?"
     r"((?=[A-Z0-9]*[ ./-]?\d)(?:[A-Z]{1,2}[ -]?)?\d(?:[ ./-]?\d){5,14}(?:[ -]?[A-Z](?![\w]))?(?: ?/ ?\d{2}(?!\d))?)(?!\w)"
 )
-_SPELLED = re.compile(r"(?:zero|oh|nought|one|two|three|four|five|six|seven|eight|nine|double|triple)(?:[ ,-]{1,2}(?:zero|oh|nought|one|two|three|four|five|six|seven|eight|nine|double|triple)){6,15}", re.I)
 
 # Street words, with a stop where the short form is written with one.
 _STREETS_EN = "Street|Avenue|Road|Lane|Drive|Court|Terrace|Boulevard|Way|Close|Place|Circle|Crescent|Square|Parkway|Highway|Trail|Grove|Hill|Gardens|Mews|Row|Walk|Blvd|Pkwy|Hwy|Ave|St|Rd|Ln|Dr|Ct|Pl|Ter|Cir|Sq"
@@ -209,6 +312,7 @@ _STREET_CUES_DE = (
 )
 _MAIL_CUES = ("@", "(at)", "[at]", "{at}", "<at>", "( at )", "[ at ]", "(arroba)", "[arroba]")
 _WORDED_CUES = (" dot ",)
+_WORDED_ALSO_CUES = (" arroba ", " arobase ", " arrobase ", " punkt ", " Punkt ")
 _PHONE_CUES = ("phone", "call", "tel.", "dial", "mobile")
 
 
@@ -217,7 +321,7 @@ def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     groups = (
         ("follows", _NAME_FOLLOWS), ("precedes", _NAME_PRECEDES), ("title", _TITLES), ("list", _LISTS), ("id", _IDS), ("en", _STREET_CUES_EN), ("fr", _STREET_CUES_FR), ("es", _STREET_CUES_ES),
-        ("de", _STREET_CUES_DE), ("mail", _MAIL_CUES), ("worded", _WORDED_CUES), ("spelled", _PHONE_CUES),
+        ("de", _STREET_CUES_DE), ("mail", _MAIL_CUES), ("worded", _WORDED_CUES), ("worded also", _WORDED_ALSO_CUES), ("spelled", _PHONE_CUES),
     )
     for kind, cues in groups:
         for cue in cues:
@@ -248,9 +352,13 @@ def _numbers(t: str) -> Iterator[tuple[str, int, int]]:
             yield "phone", start, end
 
 
-def find_plain(t: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) in a plain text, overlaps resolved in favour of the earlier kind of the cue order."""
+def find_plain(t: str, spoken: Sequence[tuple[int, int, int, int]] = ()) -> list[tuple[str, int, int]]:
+    """(kind, start, end) in a plain text, overlaps resolved in favour of the earlier kind of the cue order.
+
+    ``spoken``: where figures stand for a spoken number, as ``spoken_to_figures`` gives it.
+    """
     found: list[tuple[str, int, int]] = []
+    far: list[tuple[str, int, int]] = []
     for last, (kind, size) in _automaton().iter(t):
         end = last + 1
         start = end - size
@@ -263,6 +371,9 @@ def find_plain(t: str) -> list[tuple[str, int, int]]:
             window = max(0, start - 100)
             for m in _WORDED.finditer(t, window, min(len(t), end + 80)):
                 found.append(("email", m.start(), m.end()))
+        elif kind == "worded also":
+            for m in _WORDED_ALSO.finditer(t, max(0, start - 100), min(len(t), end + 80)):
+                found.append(("email", *m.span()))
         elif kind == "follows":
             at = end - 1 if t[end - 1].isspace() else end
             if (m := _TITLED.match(t, at)) is None and (m := _NAME.match(t, at)):
@@ -307,13 +418,17 @@ def find_plain(t: str) -> list[tuple[str, int, int]]:
         elif kind == "de":
             if m := _last(_ADDRESS_DE, t, max(0, start - 40), min(len(t), end + 40), start):
                 found.append(("address", *m))
-        elif kind == "spelled" and (m := _SPELLED.search(t, end, min(len(t), end + 120))):
-            found.append(("phone", *m.span()))
+        elif kind == "spelled":
+            # A spoken number counts as a phone's also at some distance, unless a label makes it another.
+            near = next(((a, b) for a, b, *_ in spoken if a >= end), None)
+            if near and near[1] <= end + 120 and not _NOT_PERSONAL.search(t[max(0, near[0] - 32) : near[0]]):
+                far.append(("phone", *near))
     taken = {(s, e) for _, s, e in found}
     spans = sorted(taken)
     for kind, s, e in _numbers(t):
         if not any(a < e and s < b for a, b in spans[max(0, bisect_right(spans, (s, e)) - 3) : bisect_right(spans, (e, e)) + 1]):
             found.append((kind, s, e))
+    found += [f for f in far if not any(s < f[2] and f[1] < e for _, s, e in found)]
     return _without_overlap(found)
 
 
@@ -360,7 +475,8 @@ def _without_overlap(found: Iterable[tuple[str, int, int]]) -> list[tuple[str, i
 def find(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of each mention, in code points of ``text``, in order and without overlap."""
     plain = Plain(text)
-    return [(kind, *plain.source(s, e)) for kind, s, e in find_plain(plain.text)]
+    t, spoken = spoken_to_figures(plain.text)
+    return [(kind, *plain.source(*(_unspoken(spoken, s, e) if spoken else (s, e)))) for kind, s, e in find_plain(t, spoken)]
 
 
 def redact(text: str, spans: Iterable[tuple[str, int, int]]) -> str:

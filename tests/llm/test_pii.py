@@ -76,3 +76,35 @@ def test_frames(spark, rows):
     assert rows(mentions(df.limit(0), "d", "text")) == []
     assert [r["redacted"] for r in redacted(df.where("d in (2, 4)"), "text").orderBy("d").collect()] == [None, "[EMAIL]", "[EMAIL]"]
     assert redact("see a@b.example now", find("see a@b.example now")) == "see [EMAIL] now"
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "said"),
+    [
+        ("Telefon: null eins sieben sechs eins zwei drei vier fünf, danke", "phone", "null eins sieben sechs eins zwei drei vier fünf"),
+        ("Rufen Sie null dreißig einundzwanzig vierzig fünfundsechzig sieben an", "phone", "null dreißig einundzwanzig vierzig fünfundsechzig sieben"),
+        ("joignable au zéro six douze trente-quatre soixante-dix-huit quatre-vingt-onze le soir", "phone", "zéro six douze trente-quatre soixante-dix-huit quatre-vingt-onze"),
+        ("teléfono seis cinco cero, doce, treinta y cuatro, cincuenta y seis.", "phone", "seis cinco cero, doce, treinta y cuatro, cincuenta y seis"),
+        ("ring 555 oh one double two now", "phone", "555 oh one double two"),
+        ("ask for Jo; the office number: plus four four two zero seven nine four six oh one two three", "phone", "plus four four two zero seven nine four six oh one two three"),
+        ("call me, when the meeting is over, on five five five oh one two three", "phone", "five five five oh one two three"),
+        ("SSN nine seven nine three five oh two three oh was", "id_number", "nine seven nine three five oh two three oh"),
+        ("El DNI cero dos cero cuatro siete cero uno cuatro debe", "id_number", "cero dos cero cuatro siete cero uno cuatro"),
+        ("escriba a ana punto ruiz arroba ejemplo punto es hoy", "email", "ana punto ruiz arroba ejemplo punto es"),
+        ("écrire à luc arobase exemple point fr ce soir", "email", "luc arobase exemple point fr"),
+        ("an kai at beispiel punkt de senden", "email", "kai at beispiel punkt de"),
+        ("tel.  fi\u200bve five five  oh one two three &amp; more", "phone", "fi\u200bve five five  oh one two three"),
+    ],
+)
+def test_spoken_numbers_and_addresses(text, kind, said):
+    assert [(k, text[s:e]) for k, s, e in find(text)] == [(kind, said)]
+
+
+@pytest.mark.parametrize("text", ["one, two, three and four of them", "look at this point in time", "docket number one two three four five six seven eight", "from nineteen ninety-nine to twenty twenty", "in 12 of 100 cases, six or seven of 2024"])
+def test_spoken_words_that_are_nothing(text):
+    assert find(text) == []
+
+
+def test_offsets_after_a_spoken_number():
+    text = "call five five five oh one two three or a@b.example, then oh six one two three four five six seven eight, or c@d.example"
+    assert [text[s:e] for _, s, e in find(text)] == ["five five five oh one two three", "a@b.example", "oh six one two three four five six seven eight", "c@d.example"]
