@@ -10,7 +10,8 @@ Vertices are hashed to ``B`` blocks. A round
 
 until no edge is left. Then the parents are followed back from the last round to the first. Representatives are the
 least by a 64-bit hash, so the order is random and a chain loses about a third of its vertices a round whatever its
-ids; B follows from the number of edges, so once these fit one block pair a single round ends it. A block pair that
+ids; B follows from the number of edges and of tasks that can run at once, so once few edges are left a single round
+ends it. A block pair that
 holds more edges than its share (a hot vertex) is cut into slices, since any split of the edges is sound.
 
 Every round is written to the shared checkpoint folder: no plan grows and a lost executor costs one re-read.
@@ -29,6 +30,8 @@ from gridloom.session import forget, materialise
 
 #: Edges of one block pair; 16 bytes each and about ten times that while they are joined.
 EDGES_PER_BLOCK = 500_000
+#: Edges from which on there are cells for all tasks that can run at once; fewer take one task about a second.
+SPREAD_FROM = 100_000
 #: A chain of 10^12 vertices takes fewer rounds; more would mean a fault.
 MAX_ROUNDS = 100
 
@@ -63,13 +66,14 @@ def _block(c: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
 
 
-def _blocks(count: int, per_block: int) -> int:
-    return math.ceil(math.sqrt(2 * count / per_block)) if count > per_block else 1
+def _blocks(count: int, per_block: int, slots: int = 1) -> int:
+    """B by the edges of a block pair; from ``SPREAD_FROM`` edges on also so that there are ``slots`` block pairs at least."""
+    by_edges = math.ceil(math.sqrt(2 * count / per_block)) if count > per_block else 1
+    return max(by_edges, math.ceil((math.sqrt(8 * slots + 1) - 1) / 2)) if count >= SPREAD_FROM else by_edges
 
 
-def _round(edges: DataFrame, count: int, per_block: int) -> DataFrame:
+def _round(edges: DataFrame, count: int, per_block: int, blocks: int) -> DataFrame:
     """(vertex, reps, own) after the local union-find and the exchange; reps are sorted."""
-    blocks = _blocks(count, per_block)
     gridded = edges.withColumns({"bu": _block(F.col("u"), blocks), "bv": _block(F.col("v"), blocks)})
     gridded = gridded.select("u", "v", F.least("bu", "bv").alias("row"), F.greatest("bu", "bv").alias("col"))
     if blocks == 1:
@@ -89,14 +93,16 @@ def component_roots(edges: DataFrame, per_block: int = EDGES_PER_BLOCK) -> DataF
     """
     parents: list[DataFrame] = []
     written: list[DataFrame] = []
+    slots = edges.sparkSession.sparkContext.defaultParallelism
     for _ in range(MAX_ROUNDS):
         count = edges.count()
         if not count:
             break
-        state = materialise(_round(edges, count, per_block), "components")
+        blocks = _blocks(count, per_block, slots)
+        state = materialise(_round(edges, count, per_block, blocks), "components")
         leaf = (F.size("reps") > 0) & (F.col("own") == 0)
         parents.append(state.where(leaf).select("vertex", F.col("reps")[0].alias("root")))
-        if _blocks(count, per_block) == 1:
+        if blocks == 1:
             break  # one partition saw every edge, so every vertex has its root
         links = F.concat(
             F.transform(F.slice("reps", 2, F.greatest(F.size("reps") - 1, F.lit(0))), lambda r: F.struct(F.col("reps")[0].alias("u"), r.alias("v"))),

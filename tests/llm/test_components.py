@@ -49,3 +49,22 @@ def test_proposals(spark, rows):
 def test_local_roots():
     names, roots = local_roots(np.array([5, 7, 1]), np.array([6, 6, 2]))
     assert dict(zip(names.tolist(), roots.tolist(), strict=True)) == {1: 1, 2: 1, 5: 5, 6: 5, 7: 5}
+
+
+def test_grid_is_used_for_all_slots(spark, monkeypatch):
+    from gridloom.llm import components
+
+    assert [components._blocks(n, 500_000, 6) for n in (99_999, 100_000, 500_000, 8_000_000)] == [1, 3, 3, 6]
+    monkeypatch.setattr(components, "SPREAD_FROM", 100)
+    used, plain = [], components._round
+    monkeypatch.setattr(components, "_round", lambda edges, count, per_block, blocks: used.append(blocks) or plain(edges, count, per_block, blocks))
+    rng = random.Random(12)
+    links = [(f"x{i}", f"x{i + 1}") for i in range(400) if i % 50] + [(f"y{rng.randrange(300)}", f"y{rng.randrange(300)}") for _ in range(250)]
+    got = {r["id"]: r["group_id"] for r in components.groups(spark.createDataFrame(links, "a string, b string"), "a", "b").collect()}
+    parent = {v: v for pair in links if pair[0] != pair[1] for v in pair}
+    for _ in range(500):
+        for a, b in links:
+            if a != b:
+                parent[a] = parent[b] = min(parent[a], parent[b])
+    assert got == parent
+    assert used[0] > 1 and used[-1] == 1
