@@ -33,14 +33,38 @@ class Plan:
         return sum(n * cap for _, n, _, cap in self.containers)
 
 
-def plan_with(counts: Sequence[tuple[int, int]], capacities: Sequence[int], opens: int) -> Plan:
-    """Best fit decreasing over (size, number) where new containers start with the least capacity that holds the item
-    ``opens`` times over, or else the largest; at the end each takes the least capacity that holds its contents."""
+def _unused(size: int, count: int, remaining: Sequence[tuple[int, int]], capacity: int) -> int:
+    """Room left in one container of ``capacity`` that starts with an item of ``size`` and takes from the sizes still to
+    come, largest first. ``remaining`` (size, number) descends from ``size`` on; ``count`` items of ``size`` are left."""
+    room, i = capacity, 0
+    while room and i < len(remaining):
+        s, n = remaining[i]
+        if i == 0:
+            n = count
+        if s > room:
+            # To the largest size that fits.
+            i = max(i + 1, bisect_left(remaining, -room, key=lambda x: -x[0]))
+            continue
+        room -= min(n, room // s) * s
+        i += 1
+    return room
+
+
+def plan_with(counts: Sequence[tuple[int, int]], capacities: Sequence[int], opens: int | None) -> Plan:
+    """Best fit decreasing over (size, number) with containers of several capacities.
+
+    An item goes into the open container with the least room that holds it. If none does, a container is opened:
+    with ``opens`` None of the capacity that costs least, which is the least unused space for each token it would
+    hold if the items still to come filled it, the larger of equals; with a number of the least capacity that
+    holds the item ``opens`` times over, or else the largest. At the end each container takes the least capacity
+    that holds its contents.
+    """
     caps = sorted(capacities)
     plan = Plan()
     rooms: list[int] = []  # the different rooms of open containers, ascending
     by_room: dict[int, list[tuple[int, int, int]]] = {}  # room -> (first container, count, used)
     following = 0
+    order = sorted(counts, reverse=True)
 
     def put(first: int, count: int, used: int, room: int) -> None:
         if room not in by_room:
@@ -48,8 +72,13 @@ def plan_with(counts: Sequence[tuple[int, int]], capacities: Sequence[int], open
             by_room[room] = []
         by_room[room].append((first, count, used))
 
-    for size, number in sorted(counts, reverse=True):
+    def cost(capacity: int, size: int, count: int, remaining: Sequence[tuple[int, int]]) -> tuple[float, int]:
+        unused = _unused(size, count, remaining, capacity)
+        return unused / (capacity - unused), -capacity
+
+    for at, (size, number) in enumerate(order):
         rank = 0
+        choice = None  # holds while this size lasts
         while rank < number:
             i = bisect_left(rooms, size)
             if i < len(rooms):
@@ -62,7 +91,12 @@ def plan_with(counts: Sequence[tuple[int, int]], capacities: Sequence[int], open
                 if n < count:
                     put(first + n, count - n, used, room)
             else:
-                room = next((c for c in caps if c >= size * opens), caps[-1])
+                if opens is not None:
+                    choice = next((c for c in caps if c >= size * opens), caps[-1])
+                elif choice is None:
+                    rest = order[at:]
+                    choice = min((cost(c, size, number - rank, rest), c) for c in caps if c >= size)[1]
+                room = choice
                 n = max(1, (number - rank) // (room // size)) if room // size > 1 else number - rank
                 first, used = following, 0
                 following += n
@@ -76,10 +110,10 @@ def plan_with(counts: Sequence[tuple[int, int]], capacities: Sequence[int], open
 
 
 def best_plan(counts: Sequence[tuple[int, int]], capacities: Sequence[int]) -> Plan:
-    """The plan with the least total capacity among the ways to open containers, from the tightest to the widest."""
+    """The plan with the least total capacity: opening at least cost, or by one of several fixed rules if that is better."""
     caps = sorted(set(capacities))
     widest = max(2, caps[-1] // max(1, caps[0]) + 1)
-    choices = sorted({1, 2, 4, 8, widest, caps[-1] + 1})
+    choices = [None, *sorted({1, 2, 4, 8, widest, caps[-1] + 1})]
     return min((plan_with(counts, caps, k) for k in choices), key=lambda p: p.total)
 
 

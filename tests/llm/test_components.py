@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm.components import groups, local_roots
 from gridloom.llm.p1_groups import proposal_groups
@@ -51,20 +52,37 @@ def test_local_roots():
     assert dict(zip(names.tolist(), roots.tolist(), strict=True)) == {1: 1, 2: 1, 5: 5, 6: 5, 7: 5}
 
 
-def test_grid_is_used_for_all_slots(spark, monkeypatch):
+def test_grid_is_used_at_every_size(spark, monkeypatch):
     from gridloom.llm import components
 
-    assert [components._blocks(n, 500_000, 6) for n in (99_999, 100_000, 500_000, 8_000_000)] == [1, 3, 3, 6]
-    monkeypatch.setattr(components, "SPREAD_FROM", 100)
+    assert [components._blocks(n, 500_000, 6) for n in (1, 500_000, 8_000_000)] == [3, 3, 6]
     used, plain = [], components._round
     monkeypatch.setattr(components, "_round", lambda edges, count, per_block, blocks: used.append(blocks) or plain(edges, count, per_block, blocks))
     rng = random.Random(12)
     links = [(f"x{i}", f"x{i + 1}") for i in range(400) if i % 50] + [(f"y{rng.randrange(300)}", f"y{rng.randrange(300)}") for _ in range(250)]
-    got = {r["id"]: r["group_id"] for r in components.groups(spark.createDataFrame(links, "a string, b string"), "a", "b").collect()}
-    parent = {v: v for pair in links if pair[0] != pair[1] for v in pair}
-    for _ in range(500):
-        for a, b in links:
-            if a != b:
-                parent[a] = parent[b] = min(parent[a], parent[b])
-    assert got == parent
+    links = [p for p in links if p[0] != p[1]]
+    got = sorted((r["id"], r["group_id"]) for r in components.groups(spark.createDataFrame(links, "a string, b string"), "a", "b").collect())
+    assert got == plain_groups(links)
     assert used[0] > 1 and used[-1] == 1
+
+
+def test_chain_in_the_order_of_its_ids_settles(spark, monkeypatch):
+    from gridloom.llm import components
+
+    monkeypatch.setattr(components, "MAX_ROUNDS", 30)
+    roots = components.component_roots(spark.range(400).selectExpr("id AS u", "id + 1 AS v"), per_block=5).collect()
+    assert len(roots) == 400 and len({r["root"] for r in roots}) == 1
+
+
+def test_clashing_ids_stay_apart(spark, rows):
+    pairs = [("a", "b"), ("b", "c"), ("x", "y"), ("p", "q")]
+    df = spark.createDataFrame(pairs, "l string, r string")
+    assert rows(groups(df, "l", "r", code=lambda c: F.pmod(F.xxhash64(c), F.lit(3)))) == plain_groups(pairs)
+
+
+def test_mixing_is_a_permutation(spark):
+    from gridloom.llm.components import mixed, unmixed
+
+    v = [0, 1, -1, 2**63 - 1, -(2**63), *range(-500, 500)]
+    got = spark.createDataFrame([(x,) for x in set(v)], "v long").select("v", mixed(F.col("v")).alias("m"), unmixed(mixed(F.col("v"))).alias("back")).collect()
+    assert all(r["v"] == r["back"] for r in got) and len({r["m"] for r in got}) == len(got)

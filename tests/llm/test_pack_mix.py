@@ -35,10 +35,17 @@ def test_runs_equal_one_item_at_a_time():
         for s in sizes:
             counts[s] += 1
         for opens in (1, 101):
-            assert plan_with(list(counts.items()), caps, opens).total == pytest.approx(sequential(sizes, caps, opens), rel=0.06)
+            assert plan_with(list(counts.items()), caps, opens).total == sequential(sizes, caps, opens)
         assert best_plan(list(counts.items()), caps).total >= sum(sizes)
 
 
+def test_least_cost_opening():
+    # 60 leaves 4 of 64 but 36 of 96; two of 45 leave 6 of 96 but 19 of 64.
+    assert plan_with([(60, 10)], [64, 96], None).containers == [(0, 10, 60, 64)]
+    assert plan_with([(45, 10)], [64, 96], None).containers == [(0, 5, 90, 96)]
+    assert best_plan([(60, 10), (45, 10)], [64, 96]).total == 10 * 64 + 5 * 96
+
+
 def test_pack(spark, rows):
     rng = random.Random(11)
     data = [(i, rng.choice([5, 5, 5, rng.randint(1, 60)])) for i in range(500)] + [(1000, 0), (1001, None), (1002, 250), (1003, 100)]
