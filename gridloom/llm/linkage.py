@@ -11,14 +11,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.components import component_roots
-from gridloom.session import materialise
+from gridloom.session import forget, materialise
 
 WINDOW = 12
 #: Weights of name, city and capacity; where a field is missing the others carry its weight. Checked on the 120
@@ -28,8 +29,10 @@ ACCEPT = 0.63
 #: Relative difference of two capacities at which they have nothing in common.
 CAPACITY_SPAN = 0.30
 SAME_TOWN = 0.80
-#: Pairs of a component that are assigned exactly in one task; larger components are first cut by mutual best pairs.
-EXACT_PAIRS = 2_000
+#: Pairs of a component that are assigned in one task (about 100 bytes each); larger components go to the auction.
+TASK_PAIRS = 20_000
+#: Least raise of a price in the auction, and so what an assigned row of such a component may lack in confidence.
+RAISE = 0.005
 
 # Words of legal forms and trades that say nothing about the owner, with their short forms.
 GENERIC = frozenset(
@@ -229,78 +232,106 @@ def scored_pairs(rows: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def best_assignment(a: np.ndarray, b: np.ndarray, gain: np.ndarray) -> np.ndarray:
-    """Indexes of the pairs (a, b) of a one-to-one choice with the greatest total gain (augmenting paths, exact)."""
-    left, i = np.unique(a, return_inverse=True)
-    right, j = np.unique(b, return_inverse=True)
-    n, m = len(left), len(right) + len(left)  # a column of its own for each row: it may stay alone
-    cost = np.full((n, m), 1e6)
-    which = np.full((n, m), -1)
-    for k in np.argsort(gain, kind="stable"):
-        cost[i[k], j[k]] = -gain[k]
-        which[i[k], j[k]] = k
-    cost[np.arange(n), len(right) + np.arange(n)] = 0.0
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    match = np.zeros(m + 1, dtype=int)
-    for row in range(1, n + 1):
-        match[0], col = row, 0
-        least, way, used = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=int), np.zeros(m + 1, dtype=bool)
+    """Indexes of the pairs (a, b) of a one-to-one choice with the greatest total gain.
+
+    Exact: shortest augmenting paths over the given pairs alone, with a column of its own for each row, since it may
+    stay without partner.
+    """
+    rows, i = np.unique(a, return_inverse=True)
+    columns, j = np.unique(b, return_inverse=True)
+    n, m = len(rows), len(columns)
+    near: list[list[tuple[int, float, int]]] = [[(m + r, 0.0, -1)] for r in range(n)]
+    for k, (r, c, g) in enumerate(zip(i.tolist(), j.tolist(), gain.tolist(), strict=True)):
+        near[r].append((c, -g, k))
+    u = [min(cost for _, cost, _ in options) for options in near]
+    v = [0.0] * (m + n)
+    holder, held, chosen = [-1] * (m + n), [-1] * n, [-1] * n
+    for start in range(n):
+        far: dict[int, float] = {}
+        way: dict[int, tuple[int, int]] = {}
+        done: list[int] = []
+        settled: set[int] = set()
+        heap: list[tuple[float, int]] = []
+        row, base = start, 0.0
+        while True:
+            for c, cost, k in near[row]:
+                at = base + cost - u[row] - v[c]
+                if c not in settled and at < far.get(c, np.inf):
+                    far[c], way[c] = at, (row, k)
+                    heappush(heap, (at, c))
+            base, column = heappop(heap)
+            while column in settled:
+                base, column = heappop(heap)
+            settled.add(column)
+            if holder[column] < 0:
+                break
+            done.append(column)
+            row = holder[column]
+        u[start] += base
+        for c in done:
+            u[holder[c]] += base - far[c]
+            v[c] -= base - far[c]
         while True:
-            used[col] = True
-            r = match[col]
-            reduced = cost[r - 1] - u[r] - v[1:]
-            free = ~used[1:]
-            better = free & (reduced < least[1:])
-            least[1:][better] = reduced[better]
-            way[1:][better] = col
-            target = int(np.argmin(np.where(free, least[1:], np.inf))) + 1
-            delta = least[target]
-            u[match[used]] += delta
-            v[used] -= delta
-            least[1:][free] -= delta
-            col = target
-            if match[col] == 0:
+            row, k = way[column]
+            before = held[row]
+            holder[column], held[row], chosen[row] = row, column, k
+            if row == start:
                 break
-        while col:
-            match[col] = match[way[col]]
-            col = way[col]
-    chosen = [which[match[c] - 1, c - 1] for c in range(1, m + 1) if match[c]]
+            column = before
     return np.array(sorted(k for k in chosen if k >= 0), dtype=int)
 
 
-def assign(pairs: DataFrame, exact_pairs: int = EXACT_PAIRS) -> DataFrame:
-    """(left_id, right_id, confidence): a one-to-one choice of ``pairs`` with the greatest total confidence.
+def auction(pairs: DataFrame, least: float = RAISE) -> DataFrame:
+    """(left_id, right_id, confidence): a one-to-one choice whose total is at most ``least`` a row under the greatest.
 
-    Components of the pair graph are solved exactly, each in one task, up to ``exact_pairs`` pairs. From a larger one
-    the pairs are taken first that are the best of both their ends, in rounds over the whole table and with at least
-    half the greatest total, until what is left falls apart into components of that size. Ties go to the lesser ids.
+    Rows on the left without partner bid, all at once, for the row on the right that is worth most after its price:
+    so much more as it is worth above the next best, or above staying alone, and ``least`` on top. Each row on the
+    right goes to its highest bid (ties to the lesser id), at that price. A row that nothing is worth its price to
+    leaves for good, as prices only rise; when nobody bids the prices prove the bound. A round is two joins and two
+    aggregations over the open bids; prices are one row for each row on the right.
     """
-    pairs = materialise(pairs.select("left_id", "right_id", "confidence"), "accepted")
-    done: list[DataFrame] = []
+    prices = materialise(pairs.select("right_id").distinct().select("right_id", F.lit(0.0).alias("price"), F.lit(None).cast("long").alias("holder")), "prices")
+    rest = materialise(pairs.select("left_id", "right_id", "confidence"), "bidders")
+    best_two = Window.partitionBy("left_id").orderBy(F.col("worth").desc(), "right_id")
     while True:
-        # Left vertices are even numbers and right ones odd.
-        edges = pairs.select((F.col("left_id") * 2).alias("u"), (F.col("right_id") * 2 + 1).alias("v"))
-        roots = component_roots(edges)
-        grouped = pairs.join(roots, F.col("left_id") * 2 == F.col("vertex"), "left").select("left_id", "right_id", "confidence", F.coalesce("root", F.col("left_id") * 2).alias("root"))
-        large = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > exact_pairs).select("root")
-        if not large.take(1):
+        free = rest.join(prices.where("holder is not null").select(F.col("holder").alias("left_id")), "left_id", "left_anti")
+        worth = free.join(prices, "right_id").withColumn("worth", F.col("confidence") - F.col("price")).where("worth > 0")
+        ranked = worth.withColumn("rank", F.row_number().over(best_two)).where("rank <= 2")
+        bids = ranked.groupBy("left_id").agg(
+            F.max(F.when(F.col("rank") == 1, F.struct("right_id", "price", "worth"))).alias("b"), F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("worth"))), F.lit(0.0)).alias("next")
+        )
+        bid = (F.col("b.price") + F.col("b.worth") - F.col("next") + least).alias("bid")
+        won = materialise(bids.select(F.col("b.right_id").alias("right_id"), F.struct(bid, (-F.col("left_id")).alias("l")).alias("o")).groupBy("right_id").agg(F.max("o").alias("o")), "bids")
+        if not won.take(1):
             break
-        rest = grouped.join(large, "root", "left_semi")
-        order = F.struct("confidence", (-F.col("left_id")).alias("l"), (-F.col("right_id")).alias("r"))
-        best_l = rest.groupBy("left_id").agg(F.max(order).alias("bl"))
-        best_r = rest.groupBy("right_id").agg(F.max(order).alias("br"))
-        mutual = materialise(rest.join(best_l, "left_id").join(best_r, "right_id").where("bl = br and bl.r = -right_id and bl.l = -left_id").select("left_id", "right_id", "confidence"), "mutual")
-        done.append(mutual)
-        pairs = materialise(pairs.join(mutual.select("left_id"), "left_id", "left_anti").join(mutual.select("right_id"), "right_id", "left_anti").select("left_id", "right_id", "confidence"), "rest")
+        raised = prices.join(won, "right_id", "left").select("right_id", F.coalesce("o.bid", "price").alias("price"), F.coalesce(-F.col("o.l"), "holder").alias("holder"))
+        following = materialise(raised, "prices")
+        forget(prices, won)
+        prices = following
+    held = prices.where("holder is not null").select(F.col("holder").alias("left_id"), "right_id")
+    return rest.join(held, ["left_id", "right_id"])
+
+
+def assign(pairs: DataFrame, task_pairs: int = TASK_PAIRS, least: float = RAISE) -> DataFrame:
+    """(left_id, right_id, confidence): a one-to-one choice of ``pairs`` with the greatest total confidence.
+
+    Components of the pair graph are independent. Up to ``task_pairs`` pairs each is solved exactly in a task; larger
+    ones go, all together and over all tasks, to the ``auction``, whose total is at most ``least`` for each left row
+    under the greatest. Repeated pairs count once, with their highest confidence.
+    """
+    pairs = materialise(pairs.groupBy("left_id", "right_id").agg(F.max("confidence").alias("confidence")), "accepted")
+    # Left vertices are even numbers and right ones odd.
+    edges = pairs.select((F.col("left_id") * 2).alias("u"), (F.col("right_id") * 2 + 1).alias("v"))
+    roots = component_roots(edges, slots=1)
+    grouped = pairs.join(roots, F.col("left_id") * 2 == F.col("vertex"), "left").select("left_id", "right_id", "confidence", F.coalesce("root", F.col("left_id") * 2).alias("root"))
+    counted = materialise(grouped.join(grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root"), "counted")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["left_id", "right_id"])
-        keep = best_assignment(pdf["left_id"].to_numpy(), pdf["right_id"].to_numpy(), pdf["confidence"].to_numpy()) if len(pdf) > 1 else [0]
+        keep = best_assignment(pdf["left_id"].to_numpy(), pdf["right_id"].to_numpy(), pdf["confidence"].to_numpy())
         return pdf.iloc[keep][["left_id", "right_id", "confidence"]]
 
-    alone = F.col("n") == 1
-    counted = materialise(grouped.join(grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root"), "counted")
-    out = counted.where(alone).select("left_id", "right_id", "confidence")
-    out = out.unionByName(counted.where(~alone).groupBy("root").applyInPandas(solve, "left_id long, right_id long, confidence double"))
-    for d in done:
-        out = out.unionByName(d)
-    return out
+    out = counted.where("n = 1").select("left_id", "right_id", "confidence")
+    out = out.unionByName(counted.where((F.col("n") > 1) & (F.col("n") <= task_pairs)).groupBy("root").applyInPandas(solve, "left_id long, right_id long, confidence double"))
+    large = counted.where(F.col("n") > max(task_pairs, 1))
+    return out.unionByName(auction(large, least)) if large.take(1) else out

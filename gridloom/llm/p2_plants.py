@@ -31,7 +31,7 @@ def plant_pairs(atlas: DataFrame, capacity: DataFrame) -> DataFrame:
     rows = rows.withColumn("state", F.coalesce("state", F.lit("")))
     scored = materialise(scored_pairs(rows), "scored")
     listed = (F.col("right_side") == ATLAS) & (F.col("name_sim") >= 0.75) & (F.isnan("town_sim") | (F.col("town_sim") >= 0.6)) & (F.isnan("capacity_sim") | (F.col("capacity_sim") >= 0.9)) & (F.col("confidence") > 0)
-    twice = component_roots(scored.where(listed).select(F.col("left_id").alias("u"), F.col("right_id").alias("v")))
+    twice = component_roots(scored.where(listed).select(F.col("left_id").alias("u"), F.col("right_id").alias("v")), slots=1)
     twice = materialise(twice, "listings")
     links = scored.where((F.col("right_side") == CAPACITY) & (F.col("confidence") >= ACCEPT))
     grouped = links.join(twice, F.col("left_id") == F.col("vertex"), "left").withColumn("plant", F.coalesce("root", "left_id"))

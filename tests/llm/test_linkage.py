@@ -52,12 +52,13 @@ def test_assign(spark):
     rng = random.Random(9)
     pairs = list({(a, b): (a, b, rng.random()) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(60))}.values())
     df = spark.createDataFrame(pairs, "left_id long, right_id long, confidence double").selectExpr("*", "1 AS root")
-    totals = {}
-    for limit in (2_000, 5):
+    a, b, g = (np.array(x) for x in zip(*pairs, strict=True))
+    best = g[best_assignment(a, b, g)].sum()
+    for limit in (20_000, 5, 0):
         got = assign(df, limit).collect()
         assert len({r["left_id"] for r in got}) == len(got) == len({r["right_id"] for r in got})
-        totals[limit] = sum(r["confidence"] for r in got)
-    assert totals[2_000] >= totals[5] >= totals[2_000] / 2
+        assert {(r["left_id"], r["right_id"], r["confidence"]) for r in got} <= set(pairs)
+        assert best - 0.005 * len({p[0] for p in pairs}) <= sum(r["confidence"] for r in got) <= best + 1e-9
 
 
 def test_plants(spark, rows):
