@@ -2,11 +2,14 @@
 
 Transducers rewrite a text into a plain form and remember where each rewritten character came from: homoglyphs and
 odd dashes or blanks one for one, entities, damaged encodings, zero-width characters, doubled blanks and hyphenated
-line ends many for one. Detectors run on the plain form, where at/dot disguises are read as such and spoken
-numbers of four languages stand as figures, and their spans are mapped back to the source characters, so every offset is a code point position of the source.
+line ends many for one, worded or bracketed at and dot signs of addresses to @ and a point, and spoken numbers of four
+languages to figures. Detectors run on the plain form alone, and their spans are mapped back to the source characters,
+so every offset is a code point position of the source.
 
 One automaton passes over each text and stops only at cues (labels, titles, street words, at signs); each cue starts
 one anchored pattern. Numbers are found by one pattern and told apart by their shape and by the label before them.
+Where a pattern begins before its cue, the search goes back as many words as the pattern can have and so cuts nothing;
+local parts, domains and whatever follows a cue may have any length.
 """
 
 from __future__ import annotations
@@ -190,7 +193,7 @@ def spoken_to_figures(t: str) -> tuple[str, list[tuple[int, int, int, int]]]:
 
 
 def _unspoken(runs: list[tuple[int, int, int, int]], start: int, end: int) -> tuple[int, int]:
-    """A span of the text with figures in the text before; a run that it touches is taken whole."""
+    """A span of a rewritten text in the text before; a run (its place there and before) that it touches is taken whole."""
     left, right = start, end
     for a, b, source, stop in runs:
         if a >= end:
@@ -200,6 +203,72 @@ def _unspoken(runs: list[tuple[int, int, int, int]], start: int, end: int) -> tu
     return left, right
 
 
+# Words for the at sign, each with those for the point that go with it.
+_AT_WORDS = {"at": "dot|punkt|punto", "arroba": "punto|dot", "arobase": "point|dot", "arrobase": "point|dot", "ät": "punkt", "klammeraffe": "punkt"}
+_AT_SIGN = re.compile(rf"\s?@\s?|\s?[\[({{<]\s?({'|'.join(_AT_WORDS)})\s?[\])}}>]\s?|\s({'|'.join(_AT_WORDS)})\s", re.I)
+_BRACKETED = r"\s?[\[({<]\s?(?:dot|punto|point|punkt)\s?[\])}>]\s?"
+_HOST = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+#: What gives a disguised address away, in lower case; other texts are not searched.
+_AT_GIVEN = ("dot", "@ ", " @", "(at", "[at", "{at", "<at", "( at", "[ at", "{ at", "< at", "arroba", "robase", "klammeraffe", "punkt")
+
+
+@lru_cache(maxsize=len(_AT_WORDS) + 1)
+def _disguised(word: str | None) -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """For an at word (None for the sign): a domain after it, one of its points, and a point that ends a text."""
+    point = rf"(?:\.|{_BRACKETED}|\s(?:{_AT_WORDS[word] if word else 'dot|punto'})\s)"
+    said = point.replace(r"\.|", "")
+    return re.compile(rf"{_HOST}(?:{point}{_HOST})*{point}[A-Za-z]{{2,}}(?!\w)", re.I), re.compile(said, re.I), re.compile(rf"{said}$", re.I)
+
+
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.+%'-")
+
+
+def _local_start(t: str, at: int) -> int:
+    """Where the local part that ends before ``at`` begins; ``at`` if there is none."""
+    i = at
+    while i and t[i - 1] in _LOCAL:
+        i -= 1
+    while i < at and t[i] in ".'":
+        i += 1
+    return at if i and t[i - 1].isalnum() else i
+
+
+def mail_to_plain(t: str) -> tuple[str, list[tuple[int, int, int, int]]]:
+    """``t`` with disguised addresses in plain form, and for each its (start, end) there and (start, end) in ``t``.
+
+    An at sign with blanks around, in brackets or as a word, a domain right after it and a local part right before. As
+    a bare word it counts only where a point of the domain is bracketed or a word as well.
+    """
+    low = t.lower()
+    if not any(g in low for g in _AT_GIVEN):
+        return t, []
+    parts, runs, done, length = [], [], 0, 0
+    for m in _AT_SIGN.finditer(t):
+        word = (m[1] or m[2] or "").lower() or None
+        domain, point, ending = _disguised(word)
+        if m.start() < done or not (host := domain.match(t, m.end())) or m[2] and not point.search(host.group()):
+            continue
+        start, pieces = m.start(), []
+        while (i := _local_start(t, start)) < start:
+            pieces.append(t[i:start])
+            start = i
+            # No sign for a point is longer than 12 characters.
+            if not (dot := ending.search(t, max(done, i - 12), i)) or _local_start(t, dot.start()) == dot.start():
+                break
+            start = dot.start()
+        if not pieces or start < done:
+            continue
+        new = ".".join(reversed(pieces)) + "@" + point.sub(".", host.group())
+        if new == t[start : host.end()]:
+            continue
+        parts += [t[done:start], new]
+        length += start - done
+        runs.append((length, length + len(new), start, host.end()))
+        length += len(new)
+        done = host.end()
+    return "".join([*parts, t[done:]]), runs
+
+
 # --- patterns ------------------------------------------------------------------------------------------------------
 
 _U, _L = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
@@ -228,20 +297,8 @@ _PLACE = re.compile(rf"{_WORD}\s(?=(?:{_FULL})$)")
 _NAME_BEFORE = re.compile(rf"(?:^|(?<=[^\w.'-]))({_FULL}|{_SURNAME})$")
 _ATTENDEE = re.compile(rf"\s*({_SURNAME},\s(?:{_WORD}|{_INITIAL})(?: {_INITIAL})*)(?=\s*[;–—.\n]|$)")
 
-_AT = r"(?:\s?@\s?|\s?[\[({<]\s?(?:at|AT|At|arroba)\s?[\])}>]\s?|\s(?:at|AT|arroba)\s)"
-_DOT = r"(?:\.|\s?[\[({<]\s?(?:dot|DOT|Dot|punto|point|punkt)\s?[\])}>]\s?|\s(?:dot|DOT|punto)\s)"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
-_DOMAIN = re.compile(rf"{_AT}({_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[A-Za-z]{{2,}})(?![\w])")
-_LOCAL = re.compile(rf"(?:^|(?<=[^\w.+%'-]))[A-Za-z0-9_+%-](?:[A-Za-z0-9_.+%'-]|\s?[\[({{<]\s?(?:dot|DOT|punto)\s?[\])}}>]\s?|\s(?:dot|DOT)\s)*$")
-_WORDED = re.compile(rf"(?:^|(?<=[^\w.+%'-]))([A-Za-z0-9_+%-](?:[A-Za-z0-9_.+%-]|\s(?:dot|DOT)\s(?=\S))*)\s(?:at|AT|arroba)\s({_LABEL}(?:{_DOT}{_LABEL})*(?:\s(?:dot|DOT|punto)\s|\s?[\[({{<]\s?(?:dot|DOT)\s?[\])}}>]\s?){_LABEL}(?:{_DOT}{_LABEL})*)(?!\w)")
-#: The same in the words of other languages; the point is one only with that language's at sign.
-_WORDED_ALSO = re.compile(
-    "|".join(
-        rf"(?:^|(?<=[^\w.+%'-]))[A-Za-z0-9_+%-](?:[A-Za-z0-9_.+%-]|\s{dot}\s(?=\S))*\s(?:{at})\s{_LABEL}(?:(?:\.|\s{dot}\s){_LABEL})*\s{dot}\s[A-Za-z]{{2,}}(?!\w)"
-        for at, dot in (("arroba", "punto"), ("arobase|arrobase", "point"), ("at|ät|klammeraffe", "punkt"))
-    ),
-    re.I,
-)
+_DOMAIN = re.compile(rf"@{_LABEL}(?:\.{_LABEL})*\.[A-Za-z]{{2,}}(?!\w)")
 
 _NUMBER = re.compile(r"(?<![\w.,/$£€#-])(?:\+\s?|\()?(?=[\d ./()-]{7})\d+(?:(?:[ ./-]|\)[ -]?| ?\(| / )\(?\d+\)?)*(?![\w])")
 _NO_DIGIT = re.compile(r"\D+")
@@ -276,7 +333,7 @@ _STREETS_EN = "Street|Avenue|Road|Lane|Drive|Court|Terrace|Boulevard|Way|Close|P
 #: A stop that is not the sentence's: another stop, a comma, a line end or a word in the middle of a sentence follows.
 _STOP_IS_OWN = re.compile(r"\.(?:[.,;\n]|\s+(?:[a-zß-ÿ(]|(?:IN|LIES|AND|TO|NEAR|AT|ON|IS|WAS)\b))")
 _STOPPED = frozenset(("st", "rd", "ln", "dr", "ct", "pl", "ter", "cir", "sq"))
-_BEFORE_EN = rf"(?:(?:[NSEW]|NE|NW|SE|SW)\.?\s|(?i:North|South|East|West|Old|New|Upper|Lower|Great|Little)\s)*(?:[{_U}0-9][\w'-]*\.?\s){{1,3}}"
+_BEFORE_EN = rf"(?:(?:[NSEW]|NE|NW|SE|SW)\.?\s|(?i:North|South|East|West|Old|New|Upper|Lower|Great|Little)\s){{0,3}}(?:[{_U}0-9][\w'-]*\.?\s){{1,3}}"
 _ADDRESS_EN = re.compile(rf"(?<![\w.,/-])(\d{{1,5}}(?:[-/]\d{{1,4}})?\s?[A-Za-z]?\s{_BEFORE_EN}(?i:({_STREETS_EN}))\b)")
 _ADDRESS_FR = re.compile(rf"(?<![\w.,/-])(\d{{1,4}}(?:\s?(?:bis|ter|quater|BIS|TER|[A-D]))?,?\s(?i:rue|avenue|av\.|chemin|boulevard|bd|place|impasse|allée|quai|cours|route|square|passage|ruelle|sentier)\s(?:(?i:de la|de l'|des|du|de|d'|la|le|les)\s?)?[{_U}][\w'-]*(?:\s(?:(?:de|du|des|la|le)\s)?[{_U}][\w'-]*)*)")
 _ADDRESS_ES = re.compile(rf"((?i:Avda\.?|Avenida|Av\.|Calle|C/|C\.|Plaza|Pza\.?|Paseo|P\.º|Camino|Cno\.|Ronda|Carretera|Ctra\.?|Travesía|Glorieta)\s?(?:(?i:de la|de los|de las|del|de)\s)?[{_U}][\w'-]*(?:\s(?:(?:de|del|la)\s)?[{_U}][\w'-]*)*,?\s(?i:n\.?\s?[ºo°]\.?\s|núm\.\s|número\s)?\d{{1,4}}(?:\s?(?:bis|[A-D]))?)(?!\w)")
@@ -310,9 +367,7 @@ _STREET_CUES_ES = ("Avda", "Avenida", "Calle", "C/", "Plaza", "Paseo", "Camino",
 _STREET_CUES_DE = (
     "traße ", "trasse ", "tr. ", "weg ", "platz ", "gasse ", "allee ", "ring ", "damm ", "ufer ", "steig ", " Weg ", " Platz ", " Allee ", " Ring ", "Am ", "An der ", "Auf der ", "Im ", "In der ", "Zum ", "Zur ",
 )
-_MAIL_CUES = ("@", "(at)", "[at]", "{at}", "<at>", "( at )", "[ at ]", "(arroba)", "[arroba]")
-_WORDED_CUES = (" dot ",)
-_WORDED_ALSO_CUES = (" arroba ", " arobase ", " arrobase ", " punkt ", " Punkt ")
+_MAIL_CUES = ("@",)
 _PHONE_CUES = ("phone", "call", "tel.", "dial", "mobile")
 
 
@@ -321,7 +376,7 @@ def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     groups = (
         ("follows", _NAME_FOLLOWS), ("precedes", _NAME_PRECEDES), ("title", _TITLES), ("list", _LISTS), ("id", _IDS), ("en", _STREET_CUES_EN), ("fr", _STREET_CUES_FR), ("es", _STREET_CUES_ES),
-        ("de", _STREET_CUES_DE), ("mail", _MAIL_CUES), ("worded", _WORDED_CUES), ("worded also", _WORDED_ALSO_CUES), ("spelled", _PHONE_CUES),
+        ("de", _STREET_CUES_DE), ("mail", _MAIL_CUES), ("spelled", _PHONE_CUES),
     )
     for kind, cues in groups:
         for cue in cues:
@@ -343,7 +398,7 @@ def _numbers(t: str) -> Iterator[tuple[str, int, int]]:
         s = m.group()
         if _DATE.match(s) or _digits(s) < 7:
             continue
-        before = t[max(0, start - 32) : start]
+        before = t[max(0, start - 48) : start]  # no label is longer
         if _NOT_PERSONAL.search(before):
             continue
         if _ID_SHAPES.match(s) or _NINE.match(s) and before.endswith("number ") and _ID_CUE_NEAR.search(t, end, end + 48):
@@ -363,17 +418,9 @@ def find_plain(t: str, spoken: Sequence[tuple[int, int, int, int]] = ()) -> list
         end = last + 1
         start = end - size
         if kind == "mail":
-            at = start - 1 if start and t[start - 1].isspace() else start
-            domain = _DOMAIN.match(t, at)
-            if domain and (local := _LOCAL.search(t, max(0, at - 80), at)):
-                found.append(("email", local.start(), domain.end()))
-        elif kind == "worded":
-            window = max(0, start - 100)
-            for m in _WORDED.finditer(t, window, min(len(t), end + 80)):
-                found.append(("email", m.start(), m.end()))
-        elif kind == "worded also":
-            for m in _WORDED_ALSO.finditer(t, max(0, start - 100), min(len(t), end + 80)):
-                found.append(("email", *m.span()))
+            local = _local_start(t, start)
+            if local < start and (m := _DOMAIN.match(t, start)):
+                found.append(("email", local, m.end()))
         elif kind == "follows":
             at = end - 1 if t[end - 1].isspace() else end
             if (m := _TITLED.match(t, at)) is None and (m := _NAME.match(t, at)):
@@ -398,17 +445,17 @@ def find_plain(t: str, spoken: Sequence[tuple[int, int, int, int]] = ()) -> list
                 while at < len(t) and (t[at].isspace() or t[at] in ";–—"):
                     at += 1
         elif kind == "id":
-            if (m := _ID_AFTER.match(t, end)) and m.start(1) - end <= 24:
+            if m := _ID_AFTER.match(t, end):
                 found.append(("id_number", *m.span(1)))
         elif kind == "en":
             if end < len(t) and (t[end].isalnum() or t[end] in "-'"):
                 continue
-            for m in _ADDRESS_EN.finditer(t, max(0, start - 60), end):
+            for m in _ADDRESS_EN.finditer(t, _back(t, start, 9), end):
                 if m.end(1) == end:
                     stop = m.group(2).lower() in _STOPPED and _STOP_IS_OWN.match(t, end) is not None
                     found.append(("address", m.start(1), end + stop))
         elif kind == "fr":
-            if m := _last(_ADDRESS_FR, t, max(0, start - 12), min(len(t), end + 60), start):
+            if m := _covering(_ADDRESS_FR, t, _back(t, start, 3), start):
                 found.append(("address", *m))
         elif kind == "es":
             if start and t[start - 1].isalnum():
@@ -416,12 +463,12 @@ def find_plain(t: str, spoken: Sequence[tuple[int, int, int, int]] = ()) -> list
             if m := _ADDRESS_ES.match(t, start):
                 found.append(("address", *m.span(1)))
         elif kind == "de":
-            if m := _last(_ADDRESS_DE, t, max(0, start - 40), min(len(t), end + 40), start):
+            if m := _covering(_ADDRESS_DE, t, _back(t, start, 3), start):
                 found.append(("address", *m))
         elif kind == "spelled":
-            # A spoken number counts as a phone's also at some distance, unless a label makes it another.
+            # A spoken number counts as a phone's anywhere in the line, unless a label makes it another.
             near = next(((a, b) for a, b, *_ in spoken if a >= end), None)
-            if near and near[1] <= end + 120 and not _NOT_PERSONAL.search(t[max(0, near[0] - 32) : near[0]]):
+            if near and t.find("\n", end, near[0]) < 0 and not _NOT_PERSONAL.search(t[max(0, near[0] - 48) : near[0]]):
                 far.append(("phone", *near))
     taken = {(s, e) for _, s, e in found}
     spans = sorted(taken)
@@ -432,16 +479,28 @@ def find_plain(t: str, spoken: Sequence[tuple[int, int, int, int]] = ()) -> list
     return _without_overlap(found)
 
 
-def _last(pattern: re.Pattern, t: str, lo: int, hi: int, at: int) -> tuple[int, int] | None:
-    """The match in the window that covers position ``at``."""
-    for m in pattern.finditer(t, lo, hi):
-        if m.start(1) <= at + 1 < m.end(1):
+def _back(t: str, at: int, words: int) -> int:
+    """A position at least ``words`` words before ``at``."""
+    for _ in range(words):
+        at = t.rfind(" ", 0, at)
+        if at < 0:
+            return 0
+    return at
+
+
+_WORD_START = re.compile(r"(?<![\w-])\w")
+
+
+def _covering(pattern: re.Pattern, t: str, lo: int, at: int) -> tuple[int, int] | None:
+    """The first match from ``lo`` on that begins with a word and covers position ``at`` + 1."""
+    for w in _WORD_START.finditer(t, lo, at + 2):
+        if (m := pattern.match(t, w.start())) and m.end(1) > at + 1:
             return m.span(1)
     return None
 
 
 def _names_ending(t: str, end: int) -> Iterator[tuple[int, int]]:
-    lo = max(0, end - 60)
+    lo = _back(t, end, 10)
     window = t[lo:end]
     if not (m := _NAME_BEFORE.search(window)):
         return
@@ -475,8 +534,13 @@ def _without_overlap(found: Iterable[tuple[str, int, int]]) -> list[tuple[str, i
 def find(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of each mention, in code points of ``text``, in order and without overlap."""
     plain = Plain(text)
-    t, spoken = spoken_to_figures(plain.text)
-    return [(kind, *plain.source(*(_unspoken(spoken, s, e) if spoken else (s, e)))) for kind, s, e in find_plain(t, spoken)]
+    t, mails = mail_to_plain(plain.text)
+    t, spoken = spoken_to_figures(t)
+    found = find_plain(t, spoken)
+    for runs in (spoken, mails):
+        if runs:
+            found = [(kind, *_unspoken(runs, s, e)) for kind, s, e in found]
+    return [(kind, *plain.source(s, e)) for kind, s, e in found]
 
 
 def redact(text: str, spans: Iterable[tuple[str, int, int]]) -> str:

@@ -108,3 +108,31 @@ def test_spoken_words_that_are_nothing(text):
 def test_offsets_after_a_spoken_number():
     text = "call five five five oh one two three or a@b.example, then oh six one two three four five six seven eight, or c@d.example"
     assert [text[s:e] for _, s, e in find(text)] == ["five five five oh one two three", "a@b.example", "oh six one two three four five six seven eight", "c@d.example"]
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "said"),
+    [
+        ("mail " + "a" * 300 + "@b.example now", "email", "a" * 300 + "@b.example"),
+        ("mail " + ".".join(["ab"] * 60) + " at " + " dot ".join(["cd"] * 60) + " dot org now", "email", ".".join(["ab"] * 60) + " at " + " dot ".join(["cd"] * 60) + " dot org"),
+        ("x jo (dot) doe [at] mail {dot} example . org", "email", "jo (dot) doe [at] mail {dot} example"),
+        ("an <max.muster @ firma.example>, bitte", "email", "max.muster @ firma.example"),
+        ("lives at 12 North " + "Bee" * 30 + " Great" + "ham" * 20 + " Boulevard, X", "address", "12 North " + "Bee" * 30 + " Great" + "ham" * 20 + " Boulevard"),
+        ("wohnt in " + "Lange" + "n" * 60 + "straße 5, X", "address", "Lange" + "n" * 60 + "straße 5"),
+        ("demeurant 12 rue de la " + "Br" + "o" * 90 + ", 3", "address", "12 rue de la " + "Br" + "o" * 90),
+        ("SSN " + "." * 40 + " 979.35.0230 was", "id_number", "979.35.0230"),
+        ("please call, " + "when the meeting is over and all have gone home " * 4 + "five five five oh one two three", "phone", "five five five oh one two three"),
+    ],
+)
+def test_nothing_is_cut_by_length(text, kind, said):
+    assert [(k, text[s:e]) for k, s, e in find(text)] == [(kind, said)]
+
+
+@pytest.mark.parametrize("text", ["at point of sale, priced @ 5 dot", "we met at noon. Dot org charts follow", "voir arobase"])
+def test_no_address_in_disguise(text):
+    assert find(text) == []
+
+
+def test_offsets_after_a_disguised_address():
+    text = "ask jo dot doe at example dot org, or a@b.example, SSN nine seven nine three five oh two three oh"
+    assert [text[s:e] for _, s, e in find(text)] == ["jo dot doe at example dot org", "a@b.example", "nine seven nine three five oh two three oh"]
