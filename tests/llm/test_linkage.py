@@ -61,6 +61,25 @@ def test_assign(spark):
         assert best - 0.005 * len({p[0] for p in pairs}) <= sum(r["confidence"] for r in got) <= best + 1e-9
 
 
+def dense(a, b, most):
+    """Edit distance with neighbour swaps by the whole table."""
+    d = [[max(i, j) if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return min(d[-1][-1], most + 1)
+
+
+def test_distance_equals_the_whole_table():
+    rng = random.Random(14)
+    for _ in range(4_000):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(9))) for _ in range(2))
+        most = rng.randrange(10)
+        assert distance(a, b, most) == dense(a, b, most)
+
+
 def test_plants(spark, rows):
     a = [
         (1, "Limdubel Firtumar BioEnergy Inc", "Veregolgacorford", "US-CO", 40.0), (2, "Limdubel Firtumar Bio Energy", "City of Veregolgacorford", "US-CO", 40.0), (3, "Korva Duna Ethanol LLC", "Sunobelmarton", "US-IA", 55.0),
