@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Iterable, Iterator, Sequence
+from heapq import merge
+from itertools import repeat
 
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.session import materialise
+from gridloom.session import forget, materialise
 
 OPEN = -1
+#: Snapshots that the updates are cut into, and so sorted runs that a task merges.
+SNAPSHOTS = 8
+#: Rows of a run in memory, and of a batch of versions.
+BATCH_ROWS = 10_000
 
 
 def utc_micros(df: DataFrame, column: str) -> Column:
@@ -22,43 +29,68 @@ def utc_micros(df: DataFrame, column: str) -> Column:
     return F.unix_micros(column)
 
 
-def _versions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Closed versions of a partition sorted by entity and time; holds one open version and no history.
+def sorted_run(path: str, run: int) -> Iterator[tuple[str, int, int, str]]:
+    """Rows (key, at_us, run, payload) of one sorted file, a batch in memory at a time."""
+    fs, inner = FileSystem.from_uri(path)
+    with fs.open_input_file(inner) as source:
+        for batch in pq.ParquetFile(source).iter_batches(BATCH_ROWS, columns=["key", "at_us", "payload"]):
+            yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), repeat(run), batch.column(2).to_pylist())
 
-    edge is 0 within the partition; its first version has edge bit 1 and its last bit 2, since those may go on in a
-    neighbour partition.
-    """
-    part = TaskContext.get().partitionId()
-    open_key = open_payload = open_from = None
-    emitted = False
 
-    def out(keys: list, payloads: list, starts: list, ends: list, edges: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([part] * len(keys), pa.int32()), pa.array(keys, pa.string()), pa.array(payloads, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(edges, pa.int32())],
-            names=["part", "key", "payload", "from_us", "to_us", "edge"],
-        )
+def merged_versions(runs: Iterable[Iterator[tuple[str, int, int, str]]]) -> Iterator[tuple[str, str, int, int]]:
+    """Versions (key, payload, from_us, to_us) from sorted runs, merged by key, time and run.
 
+    Of equal keys and times the last of the last run holds. One reading and one open version are held, no history.
+    """
+    open_key = open_payload = open_from = None
+    key = at = payload = None
+
+    def closed() -> tuple[str, str, int, int] | None:
+        """Take the reading in hand into the open version; the version that this closes."""
+        nonlocal open_key, open_payload, open_from
+        if key == open_key and payload == open_payload:
+            return None
+        done = None if open_key is None else (open_key, open_payload, open_from, at if key == open_key else OPEN)
+        open_key, open_payload, open_from = key, payload, at
+        return done
+
+    for k, t, _, content in merge(*runs):
+        if (k != key or t != at) and key is not None and (done := closed()):
+            yield done
+        key, at, payload = k, t, content
+    if key is not None:
+        if done := closed():
+            yield done
+        yield open_key, open_payload, open_from, OPEN
+
+
+def _merge_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Versions of each part (part, paths: its run of every snapshot, oldest first).
+
+    edge is 0 within the part; its first version has edge bit 1 and its last bit 2, since those may go on in a
+    neighbour part.
+    """
     for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        key, at, payload = batch.column(0), batch.column(1), batch.column(2)
-        inner = pc.or_(pc.not_equal(key.slice(1), key.slice(0, n - 1)), pc.not_equal(payload.slice(1), payload.slice(0, n - 1)))
-        first = open_key is None or key[0].as_py() != open_key or payload[0].as_py() != open_payload
-        starts = pa.concat_arrays([pa.array([first]), inner])
-        keys, payloads, froms = (c.filter(starts).to_pylist() for c in (key, payload, at))
-        if open_key is not None:
-            keys, payloads, froms = [open_key, *keys], [open_payload, *payloads], [open_from, *froms]
-        # All but the last are closed: by the next version of the entity, or for good.
-        ends = [b_from if a == b else OPEN for a, b, b_from in zip(keys, keys[1:], froms[1:], strict=False)]
-        open_key, open_payload, open_from = keys[-1], payloads[-1], froms[-1]
-        if len(keys) > 1:
-            edges = [0] * (len(keys) - 1)
-            if not emitted:
-                edges[0], emitted = 1, True
-            yield out(keys[:-1], payloads[:-1], froms[:-1], ends, edges)
-    if open_key is not None:
-        yield out([open_key], [open_payload], [open_from], [OPEN], [2 if emitted else 3])
+        for part, paths in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows, first = [], True
+            for row in merged_versions(sorted_run(path, i) for i, path in enumerate(paths)):
+                rows.append(row)
+                if len(rows) > BATCH_ROWS:
+                    yield _rows(part, rows[:-1], 1 if first else 0, 0)
+                    rows, first = rows[-1:], False
+            yield _rows(part, rows, 1 if first else 0, 2)
+
+
+def _rows(part: int, rows: list[tuple[str, str, int, int]], head: int, tail: int) -> pa.RecordBatch:
+    edges = [0] * len(rows)
+    edges[0] |= head
+    edges[-1] |= tail
+    columns = [*zip(*rows, strict=True)]
+    types = (pa.string(), pa.string(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array([part] * len(rows), pa.int32()), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)], pa.array(edges, pa.int32())],
+        names=["part", "key", "payload", "from_us", "to_us", "edge"],
+    )
 
 
 def stitch(edges: Sequence[tuple]) -> list[tuple]:
@@ -81,32 +113,57 @@ def stitch(edges: Sequence[tuple]) -> list[tuple]:
     return [tuple(x) for x in done]
 
 
-def versions(updates: DataFrame, key: str, observed: str, retrieved: str, attributes: Sequence[Column], tiebreak: Sequence[str] = ()) -> DataFrame:
+def _runs_of(df: DataFrame) -> list[tuple[int, list[str]]]:
+    """(part, paths of its runs by snapshot) of a table written by ``versions``: a file for each task and snapshot."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._gridloom_path)
+    fs = path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    found: dict[int, list[tuple[int, str]]] = {}
+    for folder in fs.listStatus(path):
+        if match := re.search(r"snapshot=(\d+)$", folder.getPath().toString()):
+            for file in fs.listStatus(folder.getPath()):
+                name = file.getPath().toString()
+                if part := re.search(r"/part-(\d+)-[^/]*$", name):
+                    found.setdefault(int(part[1]), []).append((int(match[1]), re.sub(r"^file:/(?!/)", "file:///", name)))
+    return [(part, [p for _, p in sorted(runs)]) for part, runs in sorted(found.items())]
+
+
+def versions(updates: DataFrame, key: str, observed: str, retrieved: str, attributes: Sequence[Column], tiebreak: Sequence[str] = (), snapshots: int = SNAPSHOTS) -> DataFrame:
     """(key, valid_from_us, valid_to_us): longest runs of readings, in ``observed`` order, with equal ``attributes``.
 
-    Of the readings of one entity at one time the last ``retrieved`` holds, then the greatest ``tiebreak``; a null
-    ``retrieved`` is the earliest. Null is a value of its own. Rows without key or time count for nothing; repeats are
-    combined before the shuffle. valid_to_us is the next version's start, -1 if there is none.
+    Of the readings of one entity at one time the last ``retrieved`` holds, then the greatest ``tiebreak``, then the
+    greatest content; a null ``retrieved`` is the earliest. Null is a value of its own. Rows without key or time count
+    for nothing.
 
-    The readings are range-partitioned by (key, time), so an entity with any share of all rows spreads over as many
-    partitions as it needs, and each partition's sorted spills are merged by the sorter into one stream. An iterator
-    over that stream keeps one open version and emits it as the content changes. Versions at the edges of partitions,
-    two a partition, are put together on the driver; their number is bounded by the number of partitions.
+    The updates are cut by ``retrieved`` into at most ``snapshots`` snapshots of about equal size. One range partition
+    over (key, time) holds for all snapshots, so an entity with any share of all rows spreads over as many parts as it
+    needs; each part of each snapshot is written as a sorted run. A task then merges the runs of its part, of which it
+    holds a batch each, keeps one open version and emits it as the content changes. Versions at the edges of parts,
+    two a part, are put together on the driver.
     """
     spark = updates.sparkSession
-    payload = F.to_json(F.struct(*[c.alias(f"a{i}") for i, c in enumerate(attributes)]))
-    rank = F.struct(F.col(retrieved), *[F.col(t) for t in tiebreak], payload)
-    readings = (
-        updates.where(F.col(key).isNotNull() & F.col(observed).isNotNull())
-        .select(F.col(key).cast("string").alias("key"), utc_micros(updates, observed).alias("at_us"), rank.alias("r"), payload.alias("payload"))
-        .groupBy("key", "at_us")
-        .agg(F.max_by("payload", "r").alias("payload"))
-    )
-    merged = readings.repartitionByRange("key", "at_us").sortWithinPartitions("key", "at_us")
-    runs = materialise(merged.mapInArrow(_versions, "part int, key string, payload string, from_us long, to_us long, edge int"), "versions")
-    edges = runs.where("edge > 0").select("part", "edge", "key", "payload", "from_us", "to_us").collect()
+    contents = [f"a{i}" for i in range(len(attributes))]
+    ties = [f"t{i}" for i in range(len(tiebreak))]
+    received = utc_micros(updates, retrieved)
+    readings = updates.where(F.col(key).isNotNull() & F.col(observed).isNotNull()).select(
+        F.col(key).cast("string").alias("key"), utc_micros(updates, observed).alias("at_us"), received.alias("got_us"),
+        *[F.col(t).alias(n) for t, n in zip(tiebreak, ties, strict=True)], *[c.alias(n) for c, n in zip(attributes, contents, strict=True)],
+    )
+    # Equal times of receipt are in one snapshot, and later ones never in an earlier snapshot.
+    bounds = readings.agg(F.percentile_approx("got_us", [i / snapshots for i in range(1, snapshots)], 1_000)).first()[0] if snapshots > 1 else None
+    later = [F.coalesce(F.col("got_us") > b, F.lit(False)).cast("int") for b in sorted(set(bounds or []))]
+    readings = readings.withColumn("snapshot", sum(later, F.lit(0)))
+    runs = readings.repartitionByRange("key", "at_us").sortWithinPartitions("snapshot", "key", "at_us", "got_us", *ties, *contents)
+    runs = materialise(runs.select("snapshot", "key", "at_us", F.to_json(F.struct(*contents)).alias("payload")), "runs", ["snapshot"])
+    parts = _runs_of(runs)
+    schema = "part int, key string, payload string, from_us long, to_us long, edge int"
+    if not parts:
+        return spark.createDataFrame([], "key string, valid_from_us long, valid_to_us long")
+    tasks = spark.createDataFrame(parts, "part int, paths array<string>").withColumn("task", F.row_number().over(Window.orderBy("part")) - 1)  # one row a part
+    merged = materialise(tasks.repartitionById(len(parts), "task").select("part", "paths").mapInArrow(_merge_parts, schema), "versions")
+    forget(runs)
+    edges = merged.where("edge > 0").select("part", "edge", "key", "payload", "from_us", "to_us").collect()
     edges.sort(key=lambda r: (r["part"], r["edge"]))
     final = stitch([(r["key"], r["payload"], r["from_us"], r["to_us"], r["edge"]) for r in edges])
     ends = spark.createDataFrame(final, "key string, valid_from_us long, valid_to_us long")
-    inner = runs.where("edge = 0").select("key", F.col("from_us").alias("valid_from_us"), F.col("to_us").alias("valid_to_us"))
+    inner = merged.where("edge = 0").select("key", F.col("from_us").alias("valid_from_us"), F.col("to_us").alias("valid_to_us"))
     return inner.unionByName(ends)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,26 +28,28 @@ def build_session(app: str = "gridloom", master: str = "local[*]", **conf: objec
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where it is unset (tests, one machine) a temporary one."""
+    """The shared folder of ``spark.checkpoint.dir``; where it is unset a temporary one, on a single machine only."""
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set(CHECKPOINT_KEY, root)
     return root
 
 
-def materialise(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def materialise(df: DataFrame, label: str = "step", partitions: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` to the shared folder, in folders by ``partitions`` if that is given, and read it back.
 
     This cuts the lineage, so a lost executor costs one re-read and no recomputation, and gives the optimiser the
     true size of the intermediate result. Files are replicated and kept as the shared file system keeps them.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").partitionBy(*partitions).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._gridloom_path = path
     return out
