@@ -33,7 +33,7 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 # Look-alikes of Latin letters, and characters read as a plain one.
 _LOOKALIKE = dict(zip("АВЕЅІЈКМНОРСТХаеѕіјорсхуԁΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABESIJKMHOPCTXaesijopcxydABEZHIKMNOPTYXo", strict=True))
 _PLAIN = {" ": " ", " ": " ", " ": " ", "‐": "-", "‑": "-", "‒": "-", "−": "-", "’": "'", "‘": "'", "ʼ": "'", "․": "."}
-_ONE_TO_ONE = str.maketrans(_LOOKALIKE | _PLAIN | {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)})
+_ONE_TO_ONE = _LOOKALIKE | _PLAIN | {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}
 _ODD = re.compile(r"[   ‐-‒−’‘ʼ․Ͱ-ӿԁ！-～]")
 #: What has to be rewritten, each with what gives it away; a text is searched only for what it holds.
 _EDITS = (
@@ -93,7 +93,8 @@ class Plain:
             if parts:
                 text = "".join([*parts, text[done:]])
         if not text.isascii() and _ODD.search(text):
-            text = text.translate(_ONE_TO_ONE)
+            for odd in _ONE_TO_ONE.keys() & set(text):
+                text = text.replace(odd, _ONE_TO_ONE[odd])
         self.text = text
 
     def source(self, start: int, end: int) -> tuple[int, int]:
