@@ -128,14 +128,26 @@ def transitions(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> Dat
     return a.join(b, list(keys), "full_outer").select(*keys, kind.alias("transition"))
 
 
-def retained(files: DataFrame, group: str, at: str, promoted: str, cutoff: object) -> DataFrame:
-    """``files`` with ``keep``: the young, the latest of each group, the undated, and of each month the last promoted or else the last file."""
+def retained(files: DataFrame, key: str, group: str, at: str, promoted: str, cutoff: Column, in_use: DataFrame | None = None) -> DataFrame:
+    """(key, reason): why each stored file is kept, or ``delete``.
+
+    In this order: undated; young (from ``cutoff`` on); latest of its group; in use (its key is in ``in_use``); the
+    sample of its group and month, which is the last promoted file before the cutoff or else the last one. Equal times
+    go by ``key``, which is unique. Maxima per group and month, combined before the shuffle, and two equi-joins.
+    """
+    order = F.struct(at, key)
+    old = F.col(at) < cutoff
     month = F.date_trunc("month", at)
-    per_month = Window.partitionBy(group, month).orderBy(F.col(promoted).desc_nulls_last(), F.col(at).desc())
-    newest = Window.partitionBy(group).orderBy(F.col(at).desc_nulls_last())
-    ranked = files.withColumns({"_m": F.row_number().over(per_month), "_l": F.row_number().over(newest)})
-    keep = F.col(at).isNull() | (F.col(at) >= F.lit(cutoff)) | (F.col("_l") == 1) | (F.col("_m") == 1)
-    return ranked.withColumn("keep", F.coalesce(keep, F.lit(True))).drop("_m", "_l")
+    latest = files.where(F.col(at).isNotNull()).groupBy(F.col(group).alias("_g")).agg(F.max_by(key, order).alias("_latest"))
+    samples = files.where(old).groupBy(F.col(group).alias("_sg"), month.alias("_sm"))
+    samples = samples.agg(F.coalesce(F.max_by(key, F.when(F.col(promoted), order)), F.max_by(key, order)).alias("_sample"))
+    out = files.join(latest, F.col(group).eqNullSafe(F.col("_g")), "left").join(samples, F.col(group).eqNullSafe(F.col("_sg")) & (month == F.col("_sm")), "left")
+    used = F.lit(False)
+    if in_use is not None:
+        out = out.join(in_use.select(F.col(key).alias("_used")).distinct(), F.col(key) == F.col("_used"), "left")
+        used = F.col("_used").isNotNull()
+    reason = F.when(F.col(at).isNull(), "undated").when(~old, "young").when(F.col("_latest") == F.col(key), "latest").when(used, "in_use").when(F.col("_sample") == F.col(key), "sample").otherwise("delete")
+    return out.select(key, reason.alias("reason"))
 
 
 def aligned_keys(previous: DataFrame, current: DataFrame, base: str, digest: str, key: str) -> DataFrame:

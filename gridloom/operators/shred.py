@@ -2,15 +2,19 @@
 
 ``shred`` stores every node of every record once: node, parent, label, ordinal, kind, scalar and the paths. Object nodes
 then meet their scalar children, and the children are pivoted into the columns of an entity table: their codes alone
-over all entities (``entities``), or every scalar below an element (``entity_table``). The join is one aggregation by (record, object node) over a single pass of the adjacency table, so records are parsed once
-and one shuffle carries only the nodes that an entity needs.
+over all entities (``entities``), or every scalar below an element (``entity_table``). The join is one aggregation by
+(record, object node) over a single pass of the adjacency table, so records are parsed once and one shuffle carries
+only the nodes that an entity needs.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -20,6 +24,10 @@ from pyspark.sql import functions as F
 NODE_SCHEMA = "doc long, node int, parent int, label string, ordinal int, kind string, scalar string, path string, owner_path string, shape string, element int"
 
 
+#: About so many bytes of nodes are in memory at a time.
+NODE_BYTES = 32 << 20
+
+
 @dataclass(frozen=True)
 class Shape:
     """How one family of records is laid out. Shapes are paths without positions, as ``data.oppHits.cfdaList``.
@@ -36,17 +44,86 @@ class Shape:
     elements: frozenset[str] = frozenset()
 
 
+_BLANK = re.compile(r"[ \t\n\r]*")
+_NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?")
+_WORDS = {"true": True, "false": False, "null": None, "NaN": math.nan, "Infinity": math.inf, "-Infinity": -math.inf}
+_WORD = re.compile("|".join(_WORDS))
+
+
+def decode_deep(text: str) -> object:
+    """The JSON value of a text nested beyond what the standard decoder's recursion holds, numbers as they are written."""
+    blank = lambda i: _BLANK.match(text, i).end()
+    open_: list[list | dict] = []
+    names: list[str | None] = []  # the name that the next value of each open object gets
+    i = blank(0)
+    while True:
+        # A name, or a value that may open further ones.
+        if open_ and isinstance(open_[-1], dict):
+            if text[i : i + 1] != '"':
+                raise ValueError(f"no name at {i}")
+            names[-1], i = scanstring(text, i + 1, True)
+            i = blank(i)
+            if text[i : i + 1] != ":":
+                raise ValueError(f"no colon at {i}")
+            i = blank(i + 1)
+        c = text[i : i + 1]
+        if c and c in "{[":
+            value: object = {} if c == "{" else []
+            i = blank(i + 1)
+            if text[i : i + 1] != ("}" if c == "{" else "]"):
+                open_.append(value)
+                names.append(None)
+                continue
+            i += 1
+        elif c == '"':
+            value, i = scanstring(text, i + 1, True)
+        elif word := _WORD.match(text, i):
+            value, i = _WORDS[word.group()], word.end()
+        elif number := _NUMBER.match(text, i):
+            value, i = number.group(), number.end()
+        else:
+            raise ValueError(f"no value at {i}")
+        # The value goes into what is open, which may end with it.
+        while True:
+            i = blank(i)
+            if not open_:
+                if i < len(text):
+                    raise ValueError(f"more at {i}")
+                return value
+            top = open_[-1]
+            if isinstance(top, dict):
+                top[names[-1]] = value
+            else:
+                top.append(value)
+            c = text[i : i + 1]
+            if c == ",":
+                i = blank(i + 1)
+                break
+            if c != ("}" if isinstance(top, dict) else "]"):
+                raise ValueError(f"no end at {i}")
+            value = open_.pop()
+            names.pop()
+            i += 1
+
+
 def decode(text: str | None) -> object:
-    """The JSON value, numbers as they are written; texts that hold JSON again are opened. None if it is broken."""
+    """The JSON value, numbers as they are written, at any depth; a text that is JSON again is opened, however often.
+
+    None if it is broken. Texts within a record stay texts.
+    """
     value: object = text
-    for _ in range(4):
-        if not isinstance(value, str):
-            return value
+    while isinstance(value, str):
+        inner = value.lstrip("\ufeff \t\r\n")
         try:
-            value = json.loads(value.lstrip("﻿"), parse_int=str, parse_float=str)
-        except (ValueError, RecursionError):
+            try:
+                value = json.loads(inner, parse_int=str, parse_float=str)
+            except RecursionError:
+                value = decode_deep(inner)
+        except ValueError:
             return None
-    return None
+        if inner[:1] != '"' and isinstance(value, str):
+            break  # a number, as it is written
+    return value
 
 
 def nodes_of(value: object, shape: Shape) -> Iterator[tuple]:
@@ -97,12 +174,20 @@ def shred(records: DataFrame, key: str, text: str, shape: Shape, keep: Sequence[
     kept = None if keep is None else frozenset(keep)
     names = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
     key_type = dict(records.dtypes)[key]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), *[pa.string()] * 5, pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc = TaskContext.get().partitionId() << 33
         for batch in batches:
             rows: list[tuple] = []
             at: list[int] = []
+            length = 0
+
+            def out() -> pa.RecordBatch:
+                columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)  # noqa: B023
+                keys = batch.column(0).take(pa.array(at, pa.int64()))  # noqa: B023
+                return pa.RecordBatch.from_arrays([keys, *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=["key", *names])
+
             for i, payload in enumerate(batch.column(1).to_pylist()):
                 doc += 1
                 value = decode(payload)
@@ -112,15 +197,28 @@ def shred(records: DataFrame, key: str, text: str, shape: Shape, keep: Sequence[
                     if kept is None or row[8] in kept:
                         rows.append((doc, *row))
                         at.append(i)
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), *[pa.string()] * 5, pa.int32()]
-            keys = batch.column(0).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([keys, *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=["key", *names])
+                        length += 100 + 3 * len(row[6])
+                        if length > NODE_BYTES:  # the paths of a deep record are long
+                            yield out()
+                            rows, at, length = [], [], 0
+            yield out()
 
     source = records.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return source.mapInArrow(run, f"key {key_type}, {NODE_SCHEMA}")
 
 
+def unreadable(records: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, reason) of the records that ``shred`` has no nodes for: ``missing``, ``empty`` or ``broken`` texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reasons = ["missing" if t is None else "empty" if not t.strip() else "broken" if decode(t) is None else None for t in batch.column(1).to_pylist()]
+            at = [i for i, r in enumerate(reasons) if r]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array([reasons[i] for i in at], pa.string())], names=["key", "reason"])
+
+    return records.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {dict(records.dtypes)[key]}, reason string")
+
+
 @dataclass(frozen=True)
 class Entity:
     """One kind of element: its name, its shapes, the field with its code, and whether a scalar element is its own code."""

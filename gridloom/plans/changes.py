@@ -150,11 +150,14 @@ def match_transitions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @REG.add("retention_sample", """
-WITH f AS (SELECT o_custkey, o_orderkey, o_orderdate, o_orderstatus = 'F' AS promoted FROM orders),
-r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, date_trunc('month', o_orderdate) ORDER BY promoted DESC, o_orderdate DESC) AS m, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC) AS l FROM f)
-SELECT o_orderdate >= TIMESTAMP '2001-01-01' OR l = 1 OR m = 1 AS keep, count(*) AS files FROM r GROUP BY 1""")
+WITH f AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE o_orderdate END AS seen, o_orderstatus = 'F' AS promoted, o_orderpriority LIKE '1%' AND o_orderkey % 11 = 0 AS used FROM orders),
+l AS (SELECT *, seen < TIMESTAMP '2001-01-01' AS old, row_number() OVER (PARTITION BY o_custkey ORDER BY seen DESC NULLS LAST, o_orderkey DESC) AS l FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, date_trunc('month', seen), old ORDER BY promoted DESC, seen DESC, o_orderkey DESC) AS m FROM l)
+SELECT o_orderkey, CASE WHEN seen IS NULL THEN 'undated' WHEN NOT old THEN 'young' WHEN l = 1 THEN 'latest' WHEN used THEN 'in_use' WHEN m = 1 THEN 'sample' ELSE 'delete' END AS reason FROM r""")
 def retention_sample(spark: SparkSession, d: str) -> DataFrame:
-    """How many stored files a retention rule keeps."""
-    files = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", (F.col("o_orderstatus") == "F").alias("promoted"))
-    cutoff = F.lit("2001-01-01").cast("timestamp_ntz")
-    return op.retained(files, "o_custkey", "o_orderdate", "promoted", cutoff).groupBy("keep").agg(F.count(F.lit(1)).alias("files"))
+    """Why each stored file is kept or deleted."""
+    at = F.when(F.col("o_orderkey") % 97 != 0, F.col("o_orderdate"))
+    orders = table(spark, d, "orders")
+    files = orders.select("o_custkey", "o_orderkey", at.alias("at"), (F.col("o_orderstatus") == "F").alias("promoted"))
+    used = orders.where(F.col("o_orderpriority").startswith("1") & (F.col("o_orderkey") % 11 == 0)).select("o_orderkey")
+    return op.retained(files, "o_orderkey", "o_custkey", "at", "promoted", F.lit("2001-01-01").cast("timestamp_ntz"), used)

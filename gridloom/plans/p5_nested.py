@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.operators.shred import Entity, Shape, entities, entity_table, shred
+from gridloom.operators.shred import Entity, Shape, entities, entity_table, shred, unreadable
 from gridloom.registry import Registry
 from gridloom.session import table
 
@@ -42,6 +42,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notice_entities(table(spark, sf_dir, "notice_raw"))
 
 
+@REG.add("p5_unreadable")
+def p5_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """raw_id and reason of the payloads that have no elements because they cannot be read."""
+    return unreadable(table(spark, sf_dir, "notice_raw"), "raw_id", "payload").withColumnRenamed("key", "raw_id")
+
+
 #: Tables with all columns: entity, its scalar fields and its lists of scalars. Page, party and region have tables only.
 TABLES = {
     e.name: (e, fields, lists)

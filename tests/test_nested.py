@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from gridloom.operators.shred import Shape, decode, nodes_of, shred
+from gridloom.operators.shred import Shape, decode, decode_deep, nodes_of, shred, unreadable
 from gridloom.plans.p5_nested import TABLES, WHOLE, notice_entities, notice_table
 
 SEARCH = {"data": {"searchParams": {"agencies": "A-1||B-2"}, "oppHits": [{"id": 7, "cfdaList": "10.5"}, None, {}, {"id": None, "cfdaList": ["1", "", None, "2"]}, {"id": "x", "cfdaList": []}]}}
@@ -71,3 +71,35 @@ def test_entity_tables_hold_every_scalar_once(spark, rows):
             named = [v for k, v in r.asDict().items() if k not in ("raw_id", "parent_path", "node_path", "text", "more") and v is not None and not (r["text"] and v == r["text"])]
             total += sum(len(v) if isinstance(v, list) else 1 for v in named) + len(r["more"]) + (r["text"] is not None)
     assert total == sum(n[4] == "scalar" for p in (package, hits, LONE) for n in nodes_of(decode(json.dumps(p)), WHOLE))
+
+
+def test_any_depth_is_read(spark, rows):
+    text = '{"a":[' * 20_000 + "1.50" + "]}" * 20_000
+    value, depth = decode(text), 0
+    while isinstance(value, dict):
+        value, depth = value["a"][0], depth + 1
+    assert (depth, value) == (20_000, "1.50")
+    wrapped = json.dumps(LONE)
+    for _ in range(6):
+        wrapped = json.dumps(wrapped)
+    df = spark.createDataFrame([(1, wrapped), (2, '{"releases":[{"ocid":"o","x":' + "[" * 3_000 + "]" * 3_000 + "}]}")], "raw_id long, payload string")
+    assert [r[:2] + r[4:] for r in rows(notice_entities(df))] == [(1, "buyer", ""), (1, "lot", "2"), (1, "release", "o-2"), (2, "release", "o")]
+
+
+def test_deep_decoder_equals_the_standard_one():
+    good = ['{"a": [1, 2.5e3, -0, true, false, null, "x\\u00e9\\n", {}, [], {"b": {"c": []}}], "d": "e"}', " [ ] ", "3", '"t"', '{"a":1,"a":2}', "[[],[[]],{}]"]
+    bad = ["", "{", "[1,]", '{"a"}', '{"a":}', "[1 2]", "tru", "1 2", '{"a":1,}', "{1:2}", "]", '"open', "[1}"]
+    for text in good:
+        assert decode_deep(text) == json.loads(text, parse_int=str, parse_float=str)
+    for text in bad:
+        try:
+            decode_deep(text)
+        except ValueError:
+            continue
+        raise AssertionError(text)
+
+
+def test_unreadable(spark, rows):
+    df = spark.createDataFrame([(1, None), (2, " "), (3, "<html>"), (4, "{}"), (None, '{"a":')], "k long, t string").selectExpr("*", "'x' AS reason")
+    assert rows(unreadable(df, "k", "t")) == sorted([(1, "missing"), (2, "empty"), (3, "broken"), (None, "broken")], key=repr)
+    assert rows(unreadable(df.limit(0), "k", "t")) == []
