@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.packing import pack
 from gridloom.llm.tokens import VOCABULARY, token_counts
 from gridloom.registry import Registry
-from gridloom.session import table
+from gridloom.session import materialise, table
 
 REG = Registry()
 
@@ -16,7 +16,9 @@ REG = Registry()
 def packed_documents(docs: DataFrame, specs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, piece, start_token, tokens, container_id, capacity_tokens) of every document with a token."""
     capacities = [r[0] for r in specs.select("capacity_tokens").distinct().collect()]  # one row for each permitted capacity
-    packed = pack(token_counts(docs, ["doc_id"], "text", vocabulary), "doc_id", "tokens", capacities)
+    # Written first, since the packing reads the sizes twice.
+    counted = materialise(token_counts(docs, ["doc_id"], "text", vocabulary), "tokens")
+    packed = pack(counted, "doc_id", "tokens", capacities)
     return packed.select(F.col("key").alias("doc_id"), "piece", F.col("start").alias("start_token"), F.col("size").alias("tokens"), F.col("container").alias("container_id"), F.col("capacity").alias("capacity_tokens"))
 
 
