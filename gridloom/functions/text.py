@@ -9,9 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Legal forms, roman numerals, currency signs.
+# Legal forms, currency signs.
 LEGAL_FORMS = ("limited liability company", "limited partnership", "incorporated", "corporation", "company", "limited", "gmbh", "llc", "ltd", "plc", "inc", "corp", "lp", "co", "sa", "ag", "bv")
-ROMAN = {"viii": "8", "vii": "7", "iii": "3", "vi": "6", "iv": "4", "ix": "9", "ii": "2", "v": "5", "x": "10"}
 CURRENCY_SIGNS = {"$": "USD", "US$": "USD", "£": "GBP", "€": "EUR", "USD": "USD", "GBP": "GBP", "EUR": "EUR"}
 
 
@@ -20,28 +19,6 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def norm_name(text: Column, noise: Sequence[str] = ("project", "facility", "station", "plant")) -> Column:
-    """Lower case without brackets, punctuation and noise words, roman numerals as digits; null if nothing is left."""
-    t = F.regexp_replace(F.lower(text), r"\([^)]*\)", " ")
-    t = F.regexp_replace(t, r"[^a-z0-9 ]", " ")
-    t = F.regexp_replace(t, r"\b(" + "|".join(noise) + r")\b", " ")
-    for roman, digit in ROMAN.items():
-        t = F.regexp_replace(t, rf"\b{roman}\b", digit)
-    return F.nullif(collapse(t), F.lit(""))
-
-
-def norm_org(text: Column) -> Column:
-    """Organisation key: upper case, no punctuation, legal forms off the end until none is left; null if nothing is."""
-    t = collapse(F.regexp_replace(F.lower(text), r"[^a-z0-9 ]", " "))
-    forms = r"( (" + "|".join(LEGAL_FORMS) + r"))+$"
-    return F.nullif(F.upper(F.trim(F.regexp_replace(t, forms, ""))), F.lit(""))
-
-
-def org_key(text: Column) -> Column:
-    """``norm_org``, or the upper-case text itself where that leaves nothing."""
-    return F.coalesce(norm_org(text), F.upper(collapse(text)))
-
-
 def legal_form(text: Column) -> Column:
     """The last legal form of a name, null if it has none."""
     return F.nullif(F.regexp_extract(collapse(F.regexp_replace(F.lower(text), r"[^a-z0-9 ]", " ")), r" (" + "|".join(LEGAL_FORMS) + r")$", 1), F.lit(""))
@@ -107,6 +84,18 @@ def voltages(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, lambda v: v.cast("double"))))
 
 
+def docket_year(ref: Column) -> tuple[Column, Column]:
+    """(year, class) of a docket reference: the two to four digits before its first hyphen, and its leading letters; null if it has none."""
+    fits = ref.rlike(r"^[A-Za-z]+.*[0-9]{2,4}-")
+    return F.when(fits, F.regexp_extract(ref, r"([0-9]{2,4})-", 1).try_cast("int")), F.when(fits, F.regexp_extract(ref, r"^([A-Za-z]+)", 1))
+
+
+def without_coordinates(text: Column, mark: str = "[position withheld]") -> Column:
+    """``text`` with each pair of decimal degrees replaced by ``mark``."""
+    degrees = r"-?\d{1,3}\.\d{3,}°? ?[NSEW]?"
+    return F.regexp_replace(text, rf"{degrees}\s*[,;/]\s*{degrees}", mark.replace("$", r"\$"))
+
+
 def indel_ratio(a: str, b: str) -> float:
     """100 * 2 * longest common subsequence / total length; 100 for two empty texts. Bit-parallel, as in published work."""
     if not a and not b:

@@ -23,17 +23,13 @@ def one(spark, column, *values):
 
 def test_normalisers(spark):
     c = F.col("c0")
-    assert one(spark, tx.norm_name(c), "Sunny Ridge (Phase A) Solar Project III") == "sunny ridge solar 3"
-    assert one(spark, tx.norm_name(c), "(x)") is None
-    assert one(spark, tx.norm_org(c), "Acme Energy Holdings, LLC Ltd.") == "ACME ENERGY HOLDINGS"
-    assert one(spark, tx.org_key(c), "!!") == "!!"
     assert one(spark, tx.slugify(c), "  Ärger & Co. — No. 5 ") == "rger-co-no-5"
     assert one(spark, tx.parse_amount(c), "about £ 1,250.5 million") == 1250.5e6
     assert one(spark, tx.parse_amount(c), "none") is None
     assert one(spark, tx.currency_code(c), "10 eur") == "EUR"
     assert one(spark, tx.voltages(c), "400kV / 132 KV, 400 kv") == [132.0, 400.0]
     assert one(spark, tx.references(c, "[A-Z]{2}[0-9]{2}-[0-9]+"), "er24-10 and ER24-2, ER24-10") == "ER24-10|ER24-2"
-    for f in (tx.norm_name, tx.norm_org, tx.org_key, tx.slugify, tx.parse_amount, tx.legal_form):
+    for f in (tx.slugify, tx.parse_amount, tx.legal_form):
         assert one(spark, f(c), None) is None
 
 
