@@ -73,6 +73,18 @@ def as_of(left: DataFrame, right: DataFrame, at: str, right_at: str, values: Seq
     return left.join(days, [*by, at], "left")
 
 
+def converted(df: DataFrame, quotes: DataFrame, currency: str, day: str, amount: str, quote: str, quote_day: str, per: str, target: str) -> DataFrame:
+    """``df`` with ``converted``: amounts in ``target`` at the latest day on or before theirs on which both currencies
+    quote, or the first such day; rounded to cents, unchanged for the target's own, null without any common day.
+
+    ``quotes`` has one row a currency and day with the units of it that the base buys.
+    """
+    own = quotes.where(F.col(quote) == target).select(F.col(quote_day).alias("_day"), F.col(per).alias("_target"))
+    both = quotes.where(F.col(quote) != target).join(own, F.col(quote_day) == F.col("_day")).select(F.col(quote).alias(currency), "_day", (F.col("_target")).alias("_t"), F.col(per).alias("_p"))
+    out = as_of(df, both, day, "_day", ["_t", "_p"], by=[currency])
+    return out.withColumn("converted", F.when(F.col(currency) == target, F.col(amount)).otherwise(F.round(F.col(amount) * F.col("_t") / F.col("_p"), 2))).drop("_t", "_p")
+
+
 def with_changes(df: DataFrame, keys: Sequence[str], period: str, value: str, basis: str, months: Sequence[int] = (1, 12)) -> DataFrame:
     """``df`` with ``change_<m>m``: the move against exactly ``m`` months before on the same basis; gaps are never bridged."""
     for m in months:

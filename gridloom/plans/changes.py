@@ -42,17 +42,26 @@ WITH {_VERSIONS},
 j AS (SELECT coalesce(a.o_orderkey, b.o_orderkey) AS k, a.o_orderkey AS ka, b.o_orderkey AS kb, a.state AS sa, b.state AS sb, a.raw AS ra, b.raw AS rb, a.amount AS xa, b.amount AS xb, a.d AS da, b.d AS db
       FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey),
 e AS (
- SELECT 'new' AS event_type FROM j WHERE ka IS NULL UNION ALL SELECT 'removed' FROM j WHERE kb IS NULL
- UNION ALL SELECT CASE WHEN sb = 'withdrawn' AND sa <> 'withdrawn' THEN 'withdrawn' ELSE 'status_change' END FROM j WHERE ka IS NOT NULL AND kb IS NOT NULL AND sa <> sb
- UNION ALL SELECT 'status_raw_change' FROM j WHERE ka IS NOT NULL AND kb IS NOT NULL AND sa = sb AND trim(lower(ra)) <> trim(lower(rb))
- UNION ALL SELECT 'capacity_change' FROM j WHERE ka IS NOT NULL AND kb IS NOT NULL AND ((xa IS NULL) <> (xb IS NULL) OR (abs(xa - xb) > 0.5 AND abs(xa - xb) > 0.01 * greatest(abs(xa), abs(xb))))
- UNION ALL SELECT 'date_change' FROM j WHERE ka IS NOT NULL AND kb IS NOT NULL AND da IS DISTINCT FROM db)
-SELECT event_type, count(*) AS events FROM e GROUP BY 1""")
+ SELECT 'new' AS event_type, k, CAST(NULL AS VARCHAR) AS field, CAST(NULL AS VARCHAR) AS before, CAST(NULL AS VARCHAR) AS after FROM j WHERE ka IS NULL UNION ALL SELECT 'removed', k, NULL, NULL, NULL FROM j WHERE kb IS NULL
+ UNION ALL SELECT CASE WHEN sb = 'withdrawn' AND sa <> 'withdrawn' THEN 'withdrawn' ELSE 'status_change' END, k, 'state', sa, sb FROM j WHERE ka IS NOT NULL AND kb IS NOT NULL AND sa <> sb
+ UNION ALL SELECT 'status_raw_change', k, 'raw', ra, rb FROM j WHERE ka IS NOT NULL AND kb IS NOT NULL AND sa = sb AND trim(lower(ra)) <> trim(lower(rb))
+ UNION ALL SELECT 'capacity_change', k, 'amount', CAST(xa AS VARCHAR), CAST(xb AS VARCHAR) FROM j WHERE ka IS NOT NULL AND kb IS NOT NULL AND ((xa IS NULL) <> (xb IS NULL) OR (abs(xa - xb) > 0.5 AND abs(xa - xb) > 0.01 * greatest(abs(xa), abs(xb))))
+ UNION ALL SELECT 'date_change', k, 'd', strftime(da, '%Y-%m-%d'), strftime(db, '%Y-%m-%d') FROM j WHERE ka IS NOT NULL AND kb IS NOT NULL AND da IS DISTINCT FROM db)
+SELECT event_type, k AS o_orderkey, field, before, after FROM e""")
 def snapshot_diff_orders(spark: SparkSession, d: str) -> DataFrame:
-    """Change events between two versions of the orders, by type."""
+    """Change events between two versions of the orders, each with its values before and after."""
     before, after = order_versions(spark, d)
-    events = op.diff_events(before, after, "o_orderkey", "state", "raw", "amount", "d")
-    return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
+    return op.diff_events(before, after, "o_orderkey", "state", "raw", "amount", "d")
+
+
+@REG.add("event_crosstab_by_type", f"""
+WITH {_VERSIONS},
+j AS (SELECT a.o_orderkey AS ka, b.o_orderkey AS kb, a.state AS sa, b.state AS sb FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey)
+SELECT CASE WHEN ka IS NULL THEN 'new' WHEN kb IS NULL THEN 'removed' WHEN sb = 'withdrawn' AND sa <> 'withdrawn' THEN 'withdrawn' ELSE 'status_change' END AS event_type, count(*) AS events FROM j WHERE ka IS NULL OR kb IS NULL OR sa <> sb GROUP BY 1""")
+def event_crosstab_by_type(spark: SparkSession, d: str) -> DataFrame:
+    """How many records came, went, were withdrawn or changed their state."""
+    events = op.diff_events(*order_versions(spark, d), "o_orderkey", "state", "raw", "amount", "d")
+    return events.where(F.col("event_type").isin("new", "removed", "withdrawn", "status_change")).groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
 
 
 @REG.add("dq_churn", f"""
@@ -126,11 +135,10 @@ def _stored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @REG.add("upsert_incremental", f"""
 WITH {_STORED}, m AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.l_orderkey = s.l_orderkey AND i.l_linenumber = s.l_linenumber) UNION ALL SELECT * FROM i)
-SELECT l_linenumber, count(*) AS rows, round(sum(v), 2) AS total FROM m GROUP BY 1""")
+SELECT l_orderkey, l_linenumber, v FROM m""")
 def upsert_incremental(spark: SparkSession, d: str) -> DataFrame:
-    """Incoming rows merged over the stored ones, by line number."""
-    merged, _ = op.upsert(*_stored(spark, d), ["l_orderkey", "l_linenumber"], "v")
-    return merged.groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("v"), 2).alias("total"))
+    """Incoming rows merged over the stored ones."""
+    return op.upsert(*_stored(spark, d), ["l_orderkey", "l_linenumber"], "v")[0].select("l_orderkey", "l_linenumber", "v")
 
 
 @REG.add("correction_log", f"WITH {_STORED} SELECT i.l_orderkey, i.l_linenumber, s.v AS before, i.v AS after FROM i JOIN s USING (l_orderkey, l_linenumber) WHERE abs(s.v - i.v) > 1e-9")
@@ -141,12 +149,12 @@ def correction_log(spark: SparkSession, d: str) -> DataFrame:
 
 @REG.add("match_transitions", """
 WITH a AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'), b AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01')
-SELECT CASE WHEN a.l_partkey IS NULL THEN 'added' WHEN b.l_partkey IS NULL THEN 'removed' ELSE 'kept' END AS transition, count(*) AS pairs FROM a FULL JOIN b ON a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey GROUP BY 1""")
+SELECT CASE WHEN a.l_partkey IS NULL THEN 'added' WHEN b.l_partkey IS NULL THEN 'removed' ELSE 'kept' END AS transition, coalesce(a.l_partkey, b.l_partkey) AS l_partkey, coalesce(a.l_suppkey, b.l_suppkey) AS l_suppkey FROM a FULL JOIN b ON a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey""")
 def match_transitions(spark: SparkSession, d: str) -> DataFrame:
     """Pairs added, removed or kept between two runs."""
     lines, at = table(spark, d, "lineitem"), F.col("l_shipdate")
     old, new = lines.where(at < F.lit("1998-01-01").cast("timestamp_ntz")), lines.where(at >= F.lit("1997-01-01").cast("timestamp_ntz"))
-    return op.transitions(old, new, ["l_partkey", "l_suppkey"]).groupBy("transition").agg(F.count(F.lit(1)).alias("pairs"))
+    return op.transitions(old, new, ["l_partkey", "l_suppkey"])
 
 
 @REG.add("retention_sample", """

@@ -92,15 +92,16 @@ def nulled_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 @REG.add("converted_amounts", """
-WITH r AS (SELECT o_orderstatus AS c, CAST(max(o_orderdate) AS DATE) AS d, max(o_totalprice) / 100000 AS rate FROM orders GROUP BY o_orderstatus, date_trunc('month', o_orderdate)), f AS (SELECT c, min_by(rate, d) AS first FROM r GROUP BY 1),
-l AS (SELECT l_linestatus AS c, CAST(l_shipdate AS DATE) AS d, l_extendedprice AS x FROM lineitem)
-SELECT l.c AS currency, count(*) AS lines, round(sum(round(x * coalesce(r.rate, f.first), 2)), 0) AS converted FROM l ASOF LEFT JOIN r ON l.c = r.c AND l.d >= r.d JOIN f ON f.c = l.c GROUP BY 1""")
+WITH q AS (SELECT c, d, max(x) / 100000 AS rate FROM (SELECT o_orderstatus AS c, CAST(o_orderdate AS DATE) AS d, o_totalprice AS x FROM orders WHERE dayofyear(o_orderdate) % 5 <> 0) GROUP BY 1, 2),
+b AS (SELECT o.d, o.rate AS o, f.rate AS f FROM (SELECT * FROM q WHERE c = 'O') o JOIN (SELECT * FROM q WHERE c = 'F') f ON o.d = f.d), z AS (SELECT min_by(o, d) AS o, min_by(f, d) AS f FROM b),
+l AS (SELECT l_orderkey, l_linenumber, l_linestatus AS c, CAST(l_shipdate AS DATE) AS d, l_extendedprice AS x FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN c = 'O' THEN x ELSE round(x * coalesce(b.o, z.o) / coalesce(b.f, z.f), 2) END AS amount FROM l ASOF LEFT JOIN b ON l.d >= b.d CROSS JOIN z""")
 def converted_amounts(spark: SparkSession, d: str) -> DataFrame:
-    """Amounts in two currencies at each one's latest rate."""
-    rates = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("c"), F.trunc(F.to_date("o_orderdate"), "month")).agg(F.to_date(F.max("o_orderdate")).alias("rd"), (F.max("o_totalprice") / 100000).alias("rate"))
-    lines = table(spark, d, "lineitem").select(F.col("l_linestatus").alias("c"), F.to_date("l_shipdate").alias("d"), F.col("l_extendedprice").alias("x"))
-    out = series.as_of(lines, rates, "d", "rd", ["rate"], by=["c"])
-    return out.groupBy(F.col("c").alias("currency")).agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum(F.round(F.col("x") * F.col("rate"), 2)), 0).alias("converted"))
+    """Amounts in one currency: the cross rate of the latest day on which both currencies quote, identity for its own."""
+    orders = table(spark, d, "orders").where(F.dayofyear("o_orderdate") % 5 != 0)
+    quotes = orders.groupBy(F.col("o_orderstatus").alias("c"), F.to_date("o_orderdate").alias("rd")).agg((F.max("o_totalprice") / 100000).alias("per"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linestatus").alias("c"), F.to_date("l_shipdate").alias("d"), F.col("l_extendedprice").alias("x"))
+    return series.converted(lines, quotes, "c", "d", "x", "c", "rd", "per", "O").select("l_orderkey", "l_linenumber", F.col("converted").alias("amount"))
 
 
 def _cases(spark: SparkSession, d: str) -> DataFrame:
@@ -116,12 +117,20 @@ def facility_match(spark: SparkSession, d: str) -> DataFrame:
     return matching.matched_places(wind.withColumnRenamed("case_id", "turbine_id"), rest, "turbine_id", "case_id", "lat", "lon", name, 500.0, 0.6)
 
 
-@REG.add("nearest_site")
+_USABLE = "latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 360 AND NOT (latitude = 0 AND longitude = 0)"
+
+
+@REG.add("nearest_site", f"""
+WITH c AS (SELECT case_id, structure_type, latitude AS la, CASE WHEN longitude >= 180 THEN longitude - 360 ELSE longitude END AS lo FROM faa_cases WHERE {_USABLE}),
+p AS (SELECT a.case_id, b.case_id AS site_id, 2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians(b.la - a.la) / 2), 2) + cos(radians(a.la)) * cos(radians(b.la)) * pow(sin(radians(b.lo - a.lo) / 2), 2)))) AS m
+      FROM c a JOIN c b ON a.structure_type = 'TOWER' AND b.structure_type = 'CRANE' AND b.la BETWEEN a.la - 0.02 AND a.la + 0.02)
+SELECT case_id, arg_min(site_id, struct_pack(m := m, s := site_id)) AS site_id, round(min(m), 3) AS metres FROM p WHERE m <= 2000 GROUP BY 1""")
 def nearest_site(spark: SparkSession, d: str) -> DataFrame:
     """The nearest crane case within 2 km of every tower case."""
     cases = _cases(spark, d)
     sites = cases.where("structure_type = 'CRANE'").select(F.col("case_id").alias("site_id"), "lat", "lon")
-    return matching.nearest_site(cases.where("structure_type = 'TOWER'"), sites, "case_id", "site_id", "lat", "lon", 2_000.0)
+    near = matching.nearest_site(cases.where("structure_type = 'TOWER'"), sites, "case_id", "site_id", "lat", "lon", 2_000.0)
+    return near.withColumn("metres", F.round("metres", 3))
 
 
 @REG.add("bounded_clusters")

@@ -102,13 +102,13 @@ def complete_period(spark: SparkSession, d: str) -> DataFrame:
 @REG.add("asof_rate", """
 WITH r AS (SELECT CAST(max(o_orderdate) AS DATE) AS d, max(o_totalprice) / 100000 AS rate FROM orders GROUP BY date_trunc('month', o_orderdate)), f AS (SELECT min_by(rate, d) AS rate FROM r),
 l AS (SELECT l_orderkey, l_linenumber, l_extendedprice, CAST(l_shipdate AS DATE) AS d FROM lineitem)
-SELECT year(l.d) AS y, count(*) AS lines, round(sum(round(l.l_extendedprice * coalesce(r.rate, f.rate), 2)), 0) AS converted FROM l ASOF LEFT JOIN r ON l.d >= r.d CROSS JOIN f GROUP BY 1""")
+SELECT l_orderkey, l_linenumber, l.l_extendedprice * coalesce(r.rate, f.rate) AS converted FROM l ASOF LEFT JOIN r ON l.d >= r.d CROSS JOIN f""")
 def asof_rate(spark: SparkSession, d: str) -> DataFrame:
     """Every line's amount at the latest rate on or before its date, before the first rate at the first."""
     rates = table(spark, d, "orders").groupBy(F.trunc(F.to_date("o_orderdate"), "month")).agg(F.to_date(F.max("o_orderdate")).alias("rd"), (F.max("o_totalprice") / 100000).alias("rate"))
-    lines = table(spark, d, "lineitem").select("l_extendedprice", F.to_date("l_shipdate").alias("d"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", F.to_date("l_shipdate").alias("d"))
     out = op.as_of(lines, rates, "d", "rd", ["rate"])
-    return out.groupBy(F.year("d").cast("long").alias("y")).agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum(F.round(F.col("l_extendedprice") * F.col("rate"), 2)), 0).alias("converted"))
+    return out.select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * F.col("rate")).alias("converted"))
 
 
 @REG.add("weighted_trailing_avg", """
