@@ -37,11 +37,10 @@ def matched_places(a: DataFrame, b: DataFrame, key_a: str, key_b: str, lat: str,
     Candidates come from ``near_pairs`` over both tables' points; distance counts in steps and the name by
     ``name_score`` over columns ``a`` and ``b`` (structs of the two rows). Taken from the best score down.
     """
-    points = a.select((F.col(key_a) * 2).alias("k"), lat, lon).unionByName(b.select((F.col(key_b) * 2 + 1).alias("k"), lat, lon))
-    near = near_pairs(points, "k", lat, lon, radius_m).where(F.col("left_id") % 2 != F.col("right_id") % 2)
-    even = F.when(F.col("left_id") % 2 == 0, F.col("left_id")).otherwise(F.col("right_id"))
-    odd = F.when(F.col("left_id") % 2 == 0, F.col("right_id")).otherwise(F.col("left_id"))
-    ids = near.select(F.floor(even / 2).cast("long").alias("_a"), F.floor((odd - 1) / 2).cast("long").alias("_b"))
+    at = lambda df, key, right: df.select(F.struct(F.lit(right).alias("right"), F.col(key).alias("id")).alias("k"), lat, lon)
+    points = at(a, key_a, False).unionByName(at(b, key_b, True))
+    near = near_pairs(points, "k", lat, lon, radius_m, F.col("k.right"))
+    ids = near.select(F.col("left_id.id").alias("_a"), F.col("right_id.id").alias("_b"))
     both = ids.join(a.select(F.col(key_a).alias("_a"), F.struct(*a.columns).alias("a")), "_a").join(b.select(F.col(key_b).alias("_b"), F.struct(*b.columns).alias("b")), "_b")
     m = haversine_m(F.col(f"a.{lat}"), F.col(f"a.{lon}"), F.col(f"b.{lat}"), F.col(f"b.{lon}"))
     closeness = F.when(m <= radius_m / 10, 1.0).when(m <= radius_m / 3, 0.7).otherwise(0.4)
@@ -51,11 +50,9 @@ def matched_places(a: DataFrame, b: DataFrame, key_a: str, key_b: str, lat: str,
 
 def nearest_site(cases: DataFrame, sites: DataFrame, case: str, site: str, lat: str, lon: str, radius_m: float) -> DataFrame:
     """(case, site, metres): each case's nearest site within the radius, ties to the lesser site; cases without one are left out."""
-    points = cases.select((F.col(case) * 2).alias("k"), lat, lon).unionByName(sites.select((F.col(site) * 2 + 1).alias("k"), lat, lon))
-    near = near_pairs(points, "k", lat, lon, radius_m).where(F.col("left_id") % 2 != F.col("right_id") % 2)
-    even = F.when(F.col("left_id") % 2 == 0, F.col("left_id")).otherwise(F.col("right_id"))
-    odd = F.when(F.col("left_id") % 2 == 0, F.col("right_id")).otherwise(F.col("left_id"))
-    ids = near.select(F.floor(even / 2).cast("long").alias(case), F.floor((odd - 1) / 2).cast("long").alias(site))
+    points = cases.select(F.struct(F.lit(False).alias("right"), F.col(case).alias("id")).alias("k"), lat, lon).unionByName(sites.select(F.struct(F.lit(True).alias("right"), F.col(site).alias("id")).alias("k"), lat, lon))
+    near = near_pairs(points, "k", lat, lon, radius_m, F.col("k.right"))
+    ids = near.select(F.col("left_id.id").alias(case), F.col("right_id.id").alias(site))
     at = lambda df, key, n: df.select(key, F.col(lat).alias(f"_la{n}"), F.col(lon).alias(f"_lo{n}"))
     m = haversine_m(F.col("_la1"), F.col("_lo1"), F.col("_la2"), F.col("_lo2"))
     far = ids.join(at(cases, case, 1), case).join(at(sites, site, 2), site).select(case, site, m.alias("metres"))

@@ -1,9 +1,10 @@
 """Points near other points, and points in regions, by ranges on a space-filling curve.
 
 Every point gets the Morton code of its cell in a quadtree over longitude and latitude (``LEVEL`` bits each way). A
-cell of any coarser level is one range of those codes, so a disc or a region becomes a few code ranges; points and
-ranges meet in an equi-join on the start of an enclosing cell plus a range condition on the sorted code, and the
-survivors are refined exactly. Nothing is a cross join and no side is broadcast by hand.
+cell of any coarser level is one range of those codes, so a disc or a region becomes a few code ranges. Ranges of discs
+meet the sorted codes of the points in parts of the curve, by two binary searches each; ranges of regions meet them in
+an equi-join on the start of an enclosing cell plus a range condition. The survivors are refined exactly. Nothing is a
+cross join and no side is broadcast by hand.
 """
 
 from __future__ import annotations
@@ -12,7 +13,10 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +26,10 @@ EARTH_RADIUS_M = 6_371_008.8
 LEVEL = 26
 #: Region cells are joined at these two levels; ranges inside a cell go down to FINE.
 ANCHORS = (5, 9)
+#: Spots of one part, about 100 bytes each and as much again for each of their ranges.
+SPOTS_PER_PART = 200_000
+#: Candidates that a part refines at a time.
+CANDIDATES = 500_000
 FINE = 12
 
 
@@ -69,72 +77,154 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
-def _half_sizes(lat: Column, radius_m: float) -> tuple[float, Column]:
-    """Half height and half width of a disc in degrees, a little enlarged against rounding; 180 if it holds a pole."""
-    angle = radius_m / EARTH_RADIUS_M
-    height = math.degrees(angle) * (1 + 1e-9) + 1e-9
-    ratio = math.sin(angle) / F.cos(F.radians(lat))
-    width = F.when((F.abs(lat) + height < 90) & (ratio < 1), F.degrees(F.asin(ratio)) * (1 + 1e-9) + 1e-9).otherwise(180.0)
-    return height, width
+def _np_morton(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``morton`` of arrays."""
 
+    def spread(v: np.ndarray) -> np.ndarray:
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = (v | v << shift) & mask
+        return v
 
-def _disc_level(lat: Column, radius_m: float) -> Column:
-    """Deepest level whose cells are at least as wide and high as a disc at this latitude."""
-    height, width = _half_sizes(lat, radius_m)
-    by_height = math.floor(math.log2(180 / (2 * height)))
-    by_width = F.floor(F.log2(F.lit(360.0) / (2 * width)))
-    return F.greatest(F.least(F.lit(min(by_height, LEVEL)), by_width), F.lit(0)).cast("int")
+    return spread(x.astype(np.int64)) | spread(y.astype(np.int64)) << 1
 
 
-def near_pairs(points: DataFrame, key: str, lat: str, lon: str, radius_m: float) -> DataFrame:
+def disc_ranges(lat: np.ndarray, lon: np.ndarray, code: np.ndarray, radius_m: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(disc, low, high): the code ranges that cover each disc, from the disc's own code on.
+
+    A disc is at most four cells of the deepest level whose cells are at least as wide and high as the disc is at its
+    latitude; a disc that holds a pole is the whole curve. Partners with a lesser code find the disc instead.
+    """
+    angle = radius_m / EARTH_RADIUS_M
+    height = math.degrees(angle) * (1 + 1e-9) + 1e-9
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = math.sin(angle) / np.cos(np.radians(lat))
+        width = np.where((np.abs(lat) + height < 90) & (ratio < 1), np.degrees(np.arcsin(np.clip(ratio, -1, 1))) * (1 + 1e-9) + 1e-9, 180.0)
+    by_height = math.floor(math.log2(180 / (2 * height)))
+    level = np.clip(np.minimum(min(by_height, LEVEL), np.floor(np.log2(360.0 / (2 * width)))), 0, LEVEL).astype(np.int64)
+    n = np.int64(1) << level
+    column = lambda v: np.floor((v + 180.0) / 360.0 * n).astype(np.int64) % n
+    row = lambda v: np.clip(np.floor((v + 90.0) / 180.0 * n).astype(np.int64), 0, n - 1)
+    west, east, south, north = column(lon - width), column(lon + width), row(lat - height), row(lat + height)
+    shift = 2 * (LEVEL - level)
+    discs, lows, highs = [], [], []
+    for x, y, here in ((west, south, None), (east, south, west != east), (west, north, south != north), (east, north, (west != east) & (south != north))):
+        low = _np_morton(x, y) << shift
+        high = low + (np.int64(1) << shift) - 1
+        keep = (high >= code) if here is None else here & (high >= code)
+        discs.append(np.flatnonzero(keep))
+        lows.append(np.maximum(low, code)[keep])
+        highs.append(high[keep])
+    return np.concatenate(discs), np.concatenate(lows), np.concatenate(highs)
+
+
+_SPOT = "la double, lo double, code long, n long, one {key}, side int"
+
+
+def _offers(splits: list[int], radius_m: float):  # noqa: ANN202
+    """For each spot its row in the part of its code, and for each part that its ranges reach a row with the range."""
+    edges = np.array(splits, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lat, lon, code = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            disc, low, high = disc_ranges(lat, lon, code, radius_m)
+            first, last = np.searchsorted(edges, low, side="right"), np.searchsorted(edges, high, side="right")
+            times = last - first + 1
+            each = np.repeat(np.arange(len(disc)), times)
+            part = first[each] + np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
+            take = np.concatenate([np.arange(len(lat)), disc[each]])
+            columns = [c.take(pa.array(take)) for c in batch.columns]
+            # A range ends with its part, so parts may share a task.
+            low, high = low[each], high[each]
+            if len(edges):
+                low, high = np.where(part > 0, np.maximum(low, edges[part - 1]), low), np.where(part < len(edges), np.minimum(high, edges[np.minimum(part, len(edges) - 1)] - 1), high)
+            none = np.full(len(lat), -1, dtype=np.int64)
+            extra = [np.concatenate([np.searchsorted(edges, code, side="right"), part]).astype(np.int32), np.concatenate([none, low]), np.concatenate([none, high])]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x) for x in extra]], names=[*batch.schema.names, "part", "low", "high"])
+
+    return run
+
+
+def _sweep(radius_m: float, sided: bool):  # noqa: ANN202
+    """Pairs of spots of one part: each range is two searches in the sorted codes; what lies between is refined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).combine_chunks()
+        low, high = rows["low"].to_numpy(), rows["high"].to_numpy()
+        spots, discs = rows.filter(pa.array(low < 0)), rows.filter(pa.array(low >= 0))
+        low, high = low[low >= 0], high[high >= 0]
+        spots = spots.take(pc.sort_indices(spots, sort_keys=[("code", "ascending"), ("lo", "ascending"), ("la", "ascending"), ("side", "ascending")]))
+        get = lambda t: [t[c].to_numpy() for c in ("code", "la", "lo", "side")]
+        (code2, la2, lo2, side2), (code1, la1, lo1, side1) = get(spots), get(discs)
+        start, stop = np.searchsorted(code2, low, side="left"), np.searchsorted(code2, high, side="right")
+        wide = np.radians(la2), np.radians(la1)
+        total = np.cumsum(stop - start)
+        at = 0
+        while at < len(low):
+            # As many ranges at a time as have about so many candidates.
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + CANDIDATES, side="right")))
+            times = (stop - start)[at:end]
+            i = np.repeat(np.arange(at, end), times)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times) + start[i]
+            at = end
+            # Each pair of positions once: the lesser of (code, lo, la) is the disc.
+            tie = code2[j] == code1[i]
+            keep = ~tie | (lo2[j] > lo1[i]) | (lo2[j] == lo1[i]) & (la2[j] > la1[i])
+            if sided:
+                keep = (~tie | (lo2[j] != lo1[i]) | (la2[j] != la1[i])) & keep & (side2[j] != side1[i])
+            i, j = i[keep], j[keep]
+            a = np.sin((wide[0][j] - wide[1][i]) / 2) ** 2 + np.cos(wide[0][j]) * np.cos(wide[1][i]) * np.sin(np.radians(lo2[j] - lo1[i]) / 2) ** 2
+            near = 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.minimum(a, 1.0))) <= radius_m
+            i, j = pa.array(i[near]), pa.array(j[near])
+            one, two = discs.take(i), spots.take(j)
+            names = ("la", "lo", "n", "one", "side")
+            columns = [t[c].combine_chunks() for t in (one, two) for c in names]
+            columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) and c.num_chunks else c if isinstance(c, pa.Array) else pa.array([], c.type) for c in columns]
+            yield pa.RecordBatch.from_arrays(columns, names=[f"{c}{k}" for k in (1, 2) for c in names])
+
+    return run
+
+
+def near_pairs(points: DataFrame, key: str, lat: str, lon: str, radius_m: float, side: Column | None = None) -> DataFrame:
     """(left_id, right_id) of all points at most ``radius_m`` apart, left_id < right_id.
 
-    Unusable positions and null keys are left out; repeated rows of one key count once. Points of one position share
-    one disc: positions are matched first and their points after, so a position that many points share costs no more
-    candidates than its pairs. A point's disc is covered by at most four cells of the level that fits its latitude;
-    a point is offered at the levels that discs reaching it can have, which is one except where the level changes.
+    With ``side`` (a Boolean) only pairs of different sides, left_id being of the false and right_id of the true one.
+    Unusable positions and null keys are left out; repeated rows of one key count once. Points of one position are one
+    spot: spots are matched first and their points after, so a position that many points share costs no more than its
+    pairs. Spots are cut into parts of about equal size at quantiles of their codes, wherever they crowd; a disc's
+    code ranges go to the parts they reach (the next in order, as a rule) and meet the sorted codes there. A part
+    holds its spots and ranges, but of its candidates only so many at a time.
     """
-    pos = points.where(usable_position(F.col(lat), F.col(lon)) & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(lat).cast("double").alias("la"), (wrap_longitude(F.col(lon).cast("double")) + 0.0).alias("lo")).distinct()
-    spots = pos.groupBy("la", "lo").agg(F.count(F.lit(1)).alias("n"))
+    spark = points.sparkSession
+    kind = dict(points.dtypes)[key]
+    chosen = F.lit(0) if side is None else F.when(side, 1).otherwise(0)
+    pos = points.where(usable_position(F.col(lat), F.col(lon)) & F.col(key).isNotNull())
+    pos = pos.select(F.col(key).alias("id"), (F.col(lat).cast("double") + 0.0).alias("la"), (wrap_longitude(F.col(lon).cast("double")) + 0.0).alias("lo"), chosen.alias("side")).distinct()
     x, y = cell_xy(F.col("lo"), F.col("la"))
-    spots = spots.withColumns({"x": x, "y": y}).withColumn("code", morton(F.col("x"), F.col("y")))
-    height, width = _half_sizes(F.col("la"), radius_m)
-
-    discs = spots.withColumns({"lv": _disc_level(F.col("la"), radius_m), "w": width})
-    n = _left(F.lit(1).cast("long"), F.col("lv"))
-    cx = lambda v: F.floor((v + 180.0) / 360.0 * n).cast("long")
-    cy = lambda v: F.greatest(F.least(F.floor((v + 90.0) / 180.0 * n), n - 1), F.lit(0)).cast("long")
-    xs = F.transform(F.sequence(cx(F.col("lo") - F.col("w")), cx(F.col("lo") + F.col("w"))), lambda v: F.pmod(v, n))
-    ys = F.sequence(cy(F.col("la") - height), cy(F.col("la") + height))
-    discs = discs.withColumns({"xs": F.array_distinct(xs), "ys": ys}).select("la", "lo", "n", "code", "lv", F.explode("xs").alias("cx"), "ys").select("la", "lo", "n", "code", "lv", "cx", F.explode("ys").alias("cy"))
-    shift = (2 * (LEVEL - F.col("lv"))).cast("int")
-    discs = discs.select(
-        F.col("la").alias("la1"), F.col("lo").alias("lo1"), F.col("n").alias("n1"), F.col("code").alias("code1"), "lv",
-        _left(morton(F.col("cx"), F.col("cy")), shift).alias("range_lo"),
-    ).withColumn("range_hi", F.col("range_lo") + _left(F.lit(1).cast("long"), (2 * (LEVEL - F.col("lv"))).cast("int")) - 1)
-
-    reach = lambda d: _disc_level(F.least(F.abs(F.col("la")) + d, F.lit(90.0)), radius_m)
-    low, high = reach(height), _disc_level(F.greatest(F.abs(F.col("la")) - height, F.lit(0.0)), radius_m)
-    offered = spots.withColumn("lv", F.explode(F.sequence(low, high)))
-    shift = (2 * (LEVEL - F.col("lv"))).cast("int")
-    offered = offered.select(F.col("la").alias("la2"), F.col("lo").alias("lo2"), F.col("code").alias("code2"), "lv", _left(_right(F.col("code"), shift), shift).alias("range_lo"))
-
-    # Each unordered pair of positions once: the lower (code, lo, la) is the disc.
-    after = F.struct("code2", "lo2", "la2") > F.struct("code1", "lo1", "la1")
-    spot_pairs = (
-        discs.join(offered, ["lv", "range_lo"])
-        .where(F.col("code2").between(F.col("range_lo"), F.col("range_hi")) & after)
-        .where(haversine_m(F.col("la1"), F.col("lo1"), F.col("la2"), F.col("lo2")) <= radius_m)
-        .select("la1", "lo1", "la2", "lo2")
-    )
-    same = spots.where("n > 1").select(F.col("la").alias("la1"), F.col("lo").alias("lo1"), F.col("la").alias("la2"), F.col("lo").alias("lo2"))
-    one = pos.select(F.col("id").alias("id1"), F.col("la").alias("la1"), F.col("lo").alias("lo1"))
-    two = pos.select(F.col("id").alias("id2"), F.col("la").alias("la2"), F.col("lo").alias("lo2"))
-    apart = spot_pairs.join(one, ["la1", "lo1"]).join(two, ["la2", "lo2"]).where("id1 <> id2")
-    together = same.join(one, ["la1", "lo1"]).join(two, ["la2", "lo2"]).where("id1 < id2")
-    pairs = apart.select("id1", "id2").unionByName(together.select("id1", "id2"))
-    out = pairs.select(F.least("id1", "id2").alias("left_id"), F.greatest("id1", "id2").alias("right_id"))
-    return out
+    spots = pos.groupBy("la", "lo", "side").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("one"))
+    spots = materialise(spots.withColumns({"x": x, "y": y}).select("la", "lo", morton(F.col("x"), F.col("y")).alias("code"), "n", "one", "side"), "spots")
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(spots.count() / SPOTS_PER_PART))
+    # At most one number for each part.
+    splits = spots.agg(F.percentile_approx("code", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
+    splits = sorted(set(splits or []))
+    offered = spots.mapInArrow(_offers(splits, radius_m), _SPOT.format(key=kind) + ", part int, low long, high long")
+    out = ", ".join(f"la{k} double, lo{k} double, n{k} long, one{k} {kind}, side{k} int" for k in (1, 2))
+    pairs = materialise(offered.repartitionById(len(splits) + 1, "part").mapInArrow(_sweep(radius_m, side is not None), out), "spot-pairs")
+    alone = (F.col("n1") == 1) & (F.col("n2") == 1)
+    one = lambda k: pos.select(F.col("id").alias(f"id{k}"), F.col("la").alias(f"la{k}"), F.col("lo").alias(f"lo{k}"), F.col("side").alias(f"side{k}"))
+    many = pairs.where(~alone).join(one(1), ["la1", "lo1", "side1"]).join(one(2), ["la2", "lo2", "side2"])
+    found = pairs.where(alone).select(F.col("one1").alias("id1"), F.col("one2").alias("id2"), "side1").unionByName(many.select("id1", "id2", "side1"))
+    if side is None:
+        same = spots.where("n > 1").select(F.col("la").alias("la1"), F.col("lo").alias("lo1"))
+        together = same.join(one(1), ["la1", "lo1"]).join(one(2), (F.col("la1") == F.col("la2")) & (F.col("lo1") == F.col("lo2"))).where("id1 < id2")
+        found = found.where("id1 <> id2").unionByName(together.select("id1", "id2", "side1"))
+        return found.select(F.least("id1", "id2").alias("left_id"), F.greatest("id1", "id2").alias("right_id"))
+    together = one(1).where("side1 = 0").join(one(2).where("side2 = 1"), (F.col("la1") == F.col("la2")) & (F.col("lo1") == F.col("lo2"))).select("id1", "id2", "side1")
+    found = found.unionByName(together)
+    return found.select(F.when(F.col("side1") == 0, F.col("id1")).otherwise(F.col("id2")).alias("left_id"), F.when(F.col("side1") == 0, F.col("id2")).otherwise(F.col("id1")).alias("right_id"))
 
 
 # --- regions -------------------------------------------------------------------------------------------------------
