@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,8 +69,9 @@ def provenance_stamp(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("record_id", F.lit("faa").alias("source_id"), store.content_hash(["study_asn", "structure_city"]).alias("content"))
 
 
-@REG.add("latest_promoted", "SELECT user_id, strftime(max(ts) FILTER (event_type IN ('purchase', 'signup')), '%Y-%m-%d %H:%M:%S') AS ts FROM events GROUP BY 1")
+@REG.add("latest_promoted", "SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ts FROM events WHERE event_type IN ('purchase', 'signup') AND ts < TIMESTAMP '2024-01-25' GROUP BY 1")
 def latest_promoted(spark: SparkSession, d: str) -> DataFrame:
-    """Newest good run of each source."""
-    good = F.col("event_type").isin("purchase", "signup")
-    return table(spark, d, "events").groupBy("user_id").agg(F.date_format(F.max(F.when(good, F.col("ts"))), "yyyy-MM-dd HH:mm:ss").alias("ts"))
+    """Newest good run of each source before a time."""
+    status = F.when(F.col("event_type").isin("purchase", "signup"), "promoted").otherwise("held")
+    runs = table(spark, d, "events").select(F.col("user_id").alias("source_id"), "ts", status.alias("status"))
+    return store.latest_promoted(runs, datetime(2024, 1, 25)).select(F.col("source_id").alias("user_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))

@@ -42,21 +42,35 @@ class Store:
     spark: SparkSession
     root: str
 
-    def write(self, source_id: str, ts: str, frame: DataFrame, events: DataFrame | None = None, status: str = "promoted") -> None:
+    def write(self, source_id: str, ts: str, frame: DataFrame, events: DataFrame | None = None, status: str = "promoted", digest: str = "") -> None:
         """Data first and the status row last, so a run that stops half way is never read."""
         for kind, df in (("normalized", frame), ("events", events)):
             if df is not None:
                 df.write.mode("overwrite").parquet(f"{self.root}/{kind}/source_id={source_id}/ts={ts}")
-        row = self.spark.createDataFrame([(status,)], "status string")
-        row.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/runs/source_id={source_id}/ts={ts}")
+        self.write_status(source_id, ts, status, digest)
 
     def runs(self) -> DataFrame:
-        return self.spark.read.option("basePath", f"{self.root}/runs").schema("status string, source_id string, ts string").parquet(f"{self.root}/runs")
+        schema = "status string, digest string, source_id string, ts string"
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/runs")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.option("basePath", f"{self.root}/runs").schema(schema).parquet(f"{self.root}/runs")
 
     def last_promoted(self, source_id: str, before: str | None = None) -> str | None:
         """Newest promoted run, of those before ``before`` if that is given; one row comes back."""
+        return latest_promoted(self.runs().where(F.col("source_id") == source_id), before).agg(F.max("ts")).first()[0]
+
+    def digest(self, source_id: str, ts: str) -> str | None:
+        row = self.runs().where((F.col("source_id") == source_id) & (F.col("ts") == ts)).select("digest").first()
+        return row[0] if row else None
+
+    def events(self, source_id: str, ts: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/events/source_id={source_id}/ts={ts}")
+
+    def to_load(self, source_id: str, after: str | None) -> list[str]:
+        """Promoted runs since the last loaded one, oldest first."""
         runs = self.runs().where((F.col("source_id") == source_id) & (F.col("status") == "promoted"))
-        return (runs.where(F.col("ts") < before) if before else runs).agg(F.max("ts")).first()[0]
+        return [r[0] for r in (runs.where(F.col("ts") > after) if after else runs).select("ts").orderBy("ts").collect()]
 
     def read(self, source_id: str, ts: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/normalized/source_id={source_id}/ts={ts}")
@@ -70,8 +84,14 @@ class Store:
         """Promote a held run."""
         self.write_status(source_id, ts, "promoted")
 
-    def write_status(self, source_id: str, ts: str, status: str) -> None:
-        self.spark.createDataFrame([(status,)], "status string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/runs/source_id={source_id}/ts={ts}")
+    def write_status(self, source_id: str, ts: str, status: str, digest: str = "") -> None:
+        self.spark.createDataFrame([(status, digest)], "status string, digest string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/runs/source_id={source_id}/ts={ts}")
+
+
+def latest_promoted(runs: DataFrame, before: object | None = None) -> DataFrame:
+    """(source_id, ts): the newest promoted run of each source, of those before ``before`` if that is given."""
+    good = runs.where(F.col("status") == "promoted")
+    return (good.where(F.col("ts") < F.lit(before)) if before is not None else good).groupBy("source_id").agg(F.max("ts").alias("ts"))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", null: str = "", encoding: str = "UTF-8") -> DataFrame:
