@@ -185,3 +185,91 @@ def chained(parts: list[list[tuple[float, float]]], digits: int = 6) -> list[lis
         for other in (key(b[-1]),):
             ends[other] = [i if x == j else x for x in ends[other]]
     return [pool[i] for i in sorted(pool)]
+
+
+def equal_pieces(length: Column, target: float) -> tuple[Column, Column]:
+    """(pieces, length of each) of a line cut into equal pieces of about ``target``; never fewer than one."""
+    n = F.greatest(F.lit(1.0), F.round(length / target))
+    return n.cast("long"), length / n
+
+
+def split_line(points: list[tuple[float, float]], target_m: float) -> list[list[tuple[float, float]]]:
+    """A polyline cut into equal pieces of about ``target_m`` along its great-circle length; corners stay where they are."""
+    if len(points) < 2:
+        return []
+    xy = np.radians(np.array(points, dtype=float))
+    d = np.diff(xy, axis=0)
+    h = np.sin(d[:, 1] / 2) ** 2 + np.cos(xy[:-1, 1]) * np.cos(xy[1:, 1]) * np.sin(d[:, 0] / 2) ** 2
+    along = np.concatenate([[0.0], np.cumsum(2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.minimum(h, 1))))])
+    n = max(1, round(along[-1] / target_m))
+    cuts = np.linspace(0, along[-1], n + 1)
+    at = lambda s: tuple(float(np.interp(s, along, np.degrees(xy[:, k]))) for k in (0, 1))
+    return [[at(a), *[points[i] for i in range(len(points)) if a < along[i] < b], at(b)] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _over_lines(kernel, result: str):  # noqa: ANN001, ANN202
+    """An Arrow function that applies ``kernel`` to a column of lines; null lines stay null."""
+
+    @F.pandas_udf(result)
+    def run(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda line: None if line is None else kernel([(p["lon"], p["lat"]) for p in line]))
+
+    return run
+
+
+def pieces_of(target_m: float):  # noqa: ANN201
+    """``split_line`` over a column of lines."""
+    as_points = lambda pieces: [[{"lon": x, "lat": y} for x, y in piece] for piece in pieces]
+    return _over_lines(lambda line: as_points(split_line(line, target_m)), f"array<{LINE}>")
+
+
+def clipped_to(box: tuple[float, float, float, float]):  # noqa: ANN201
+    """The legs of a column of lines inside a box, each cut at its border."""
+
+    def kernel(line: list[tuple[float, float]]) -> list[list[dict[str, float]]]:
+        legs = [segment_in_box(a, b, box) for a, b in zip(line, line[1:], strict=False)]
+        return [[{"lon": x, "lat": y} for x, y in leg] for leg in legs if leg]
+
+    return _over_lines(kernel, f"array<{LINE}>")
+
+
+def centroid_of_wkt(text: Column) -> Column:
+    """Struct (lon, lat) of the area-weighted centre of a WKT polygon's largest piece, null where there is none."""
+    from gridloom.operators.spatial import parse_wkt
+
+    def centre(t: str | None) -> dict[str, float | None]:
+        pieces = parse_wkt(t)
+        area = lambda ring: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:], strict=False)))
+        at = polygon_centroid(max(pieces, key=lambda p: area(p[0]))) if pieces else None
+        return {"lon": at[0] if at else None, "lat": at[1] if at else None}
+
+    @F.pandas_udf("lon double, lat double")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([centre(t if isinstance(t, str) else None) for t in texts], columns=["lon", "lat"])
+
+    return run(text)
+
+
+def geojson_of(wkb: Column) -> Column:
+    """GeoJSON text of a WKB column, null where it is broken."""
+    import json
+
+    @F.pandas_udf("string")
+    def run(data: pd.Series) -> pd.Series:
+        return data.map(lambda b: None if b is None or (g := read_wkb(bytes(b))) is None else json.dumps(g))
+
+    return run(wkb)
+
+
+def merged_lines(df, key: str, line: str, digits: int = 6):  # noqa: ANN001, ANN201
+    """(key, part, line): the parts of each key's line joined where exactly two of them share an end.
+
+    A key's parts are one mapped line, so they fit a task; the parts are sorted first, so their order does not matter.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = sorted([(p["lon"], p["lat"]) for p in ln] for ln in pdf["line"] if ln is not None)
+        joined = chained(parts, digits)
+        return pd.DataFrame([(pdf["key"].iloc[0], i, [{"lon": x, "lat": y} for x, y in ln]) for i, ln in enumerate(joined)], columns=["key", "part", "line"])
+
+    return df.select(F.col(key).alias("key"), F.col(line).alias("line")).groupBy("key").applyInPandas(run, f"key {dict(df.dtypes)[key]}, part int, line {LINE}")

@@ -92,7 +92,7 @@ def docket_year(ref: Column) -> tuple[Column, Column]:
 
 def without_coordinates(text: Column, mark: str = "[position withheld]") -> Column:
     """``text`` with each pair of decimal degrees replaced by ``mark``."""
-    degrees = r"-?\d{1,3}\.\d{3,}°? ?[NSEW]?"
+    degrees = r"-?\d{1,3}\.\d{3,}°?(?: ?[NSEW]\b)?"
     return F.regexp_replace(text, rf"{degrees}\s*[,;/]\s*{degrees}", mark.replace("$", r"\$"))
 
 

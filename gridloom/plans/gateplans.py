@@ -171,7 +171,7 @@ def superseded_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @REG.add("withheld_coordinates", r"""
-SELECT doc_id, length(regexp_replace(text, '-?\d{1,3}\.\d{3,}°? ?[NSEW]?\s*[,;/]\s*-?\d{1,3}\.\d{3,}°? ?[NSEW]?', '[position withheld]', 'g')) AS n FROM documents WHERE text IS NOT NULL""")
+SELECT doc_id, length(regexp_replace(text, '-?\d{1,3}\.\d{3,}°?(?: ?[NSEW]\b)?\s*[,;/]\s*-?\d{1,3}\.\d{3,}°?(?: ?[NSEW]\b)?', '[position withheld]', 'g')) AS n FROM documents WHERE text IS NOT NULL""")
 def withheld_coordinates(spark: SparkSession, d: str) -> DataFrame:
     """Lengths of the texts without the positions in them."""
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.length(tx.without_coordinates(F.col("text"))).cast("long").alias("n"))

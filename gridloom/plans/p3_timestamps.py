@@ -11,7 +11,8 @@ from gridloom.session import table
 
 REG = Registry()
 
-CASE_ZONE = "America/New_York"
+#: Sources without a catalogue of places: default zone, and whether the day comes first in numeric dates.
+SOURCE_DEFAULTS = {"case": ("America/New_York", False), "register": ("UTC", True)}
 
 
 def _one(column: str) -> F.Column:
@@ -50,8 +51,8 @@ def text_instants(df: DataFrame, row_id: str, text: str, zone: str, day_first: b
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, row_id, utc_us: every price, case and register row that states exactly one instant."""
     price = price_instants(table(spark, sf_dir, "price_intervals"), table(spark, sf_dir, "price_locations"))
-    case = text_instants(table(spark, sf_dir, "faa_cases"), "case_id", "entered_date", CASE_ZONE, False)
-    register = text_instants(table(spark, sf_dir, "neso_tec_register"), "row_id", "mw_effective_from", "UTC", True)
+    case = text_instants(table(spark, sf_dir, "faa_cases"), "case_id", "entered_date", *SOURCE_DEFAULTS["case"])
+    register = text_instants(table(spark, sf_dir, "neso_tec_register"), "row_id", "mw_effective_from", *SOURCE_DEFAULTS["register"])
     parts = [(price, "price"), (case, "case"), (register, "register")]
     found = [df.where("utc_us is not null").select(F.lit(src).alias("src"), "row_id", "utc_us") for df, src in parts]
     return found[0].unionByName(found[1]).unionByName(found[2])
