@@ -295,55 +295,64 @@ def _code(x: int, y: int) -> int:
     return out
 
 
-def cover_piece(edges: list[tuple[float, float, float, float]]) -> list[tuple[int, int, int, int, bool, list]]:
-    """Cells of one piece: (anchor level, anchor start, range start, range end, wholly inside, edges of the rows it spans).
+def _odd_at(x: float, y: float, corner: tuple[float, float, bool], edges: list[tuple[float, float, float, float]]) -> bool:
+    """Whether (x, y) is inside, from a ``corner`` (x, y, inside) to its right and below, and the edges between.
 
-    The quadtree is walked down: cells no edge meets are inside or outside as a whole; those an edge meets are split
-    until ``FINE``. Edges are given once per anchor cell, on its first boundary range.
+    The way goes up from the corner and then left, and each edge it crosses changes the side. Ends of edges count as in
+    the even-odd test with a ray to the right (a point on an edge belongs to what lies right of it), so both agree.
+    """
+    cx, cy, odd = corner
+    for ax, ay, bx, by in edges:
+        if (ax > cx) != (bx > cx):
+            slope = (by - ay) / (bx - ax)
+            at = (cx - ax) * slope + ay
+            if (at > cy or at == cy and slope > 0) and (at < y or at == y and slope <= 0):
+                odd = not odd
+        if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax <= cx:
+            odd = not odd
+    return odd
+
+
+def cover_piece(edges: list[tuple[float, float, float, float]]) -> list[tuple[int, int, int, int, tuple | None]]:
+    """Cells of one piece: (anchor level, anchor start, range start, range end, border).
+
+    The quadtree is walked down with the edges that meet a cell and the side its lower right corner is on, so no step
+    looks at the whole piece: cells no edge meets are inside or outside as their corner; those an edge meets are split
+    until ``FINE``. Their border is (corner x, corner y, inside, edges that meet the cell), None for cells wholly inside.
     """
     eps = 1e-9
-    lo_y, hi_y = min(e[1] for e in edges), max(max(e[1], e[3]) for e in edges)
-    lo_y = min(lo_y, min(e[3] for e in edges))
-    lo_x, hi_x = min(min(e[0], e[2]) for e in edges), max(max(e[0], e[2]) for e in edges)
-    found: list[tuple[int, int, int, bool]] = []
+    out: list[tuple[int, int, int, int, tuple | None]] = []
 
-    def walk(level: int, x: int, y: int, near: list) -> None:
+    def walk(level: int, x: int, y: int, near: list, corner: tuple[float, float, bool]) -> None:
         w, h = 360.0 / (1 << level), 180.0 / (1 << level)
         x0, y0 = x * w - 180.0, y * h - 90.0
-        if x0 > hi_x or x0 + w < lo_x or y0 > hi_y or y0 + h < lo_y:
-            return
+        at = (x0 + w, y0)
+        corner = (*at, _odd_at(*at, corner, near))
         near = [e for e in near if _touches(e, x0 - eps, y0 - eps, x0 + w + eps, y0 + h + eps)]
-        if not near and not _inside(x0 + w / 2, y0 + h / 2, edges):
+        if not near and not corner[2]:
             return
         if near and level < FINE or level < ANCHORS[0]:
             for dx in (0, 1):
                 for dy in (0, 1):
-                    walk(level + 1, 2 * x + dx, 2 * y + dy, near)
+                    walk(level + 1, 2 * x + dx, 2 * y + dy, near, corner)
             return
         start = _code(x, y) << 2 * (LEVEL - level)
-        found.append((level, start, start + (1 << 2 * (LEVEL - level)) - 1, not near))
-
-    walk(0, 0, 0, edges)
-    out = []
-    for level, start, end, whole in found:
-        anchors = [a for a in ANCHORS if a <= level]
-        anchor = anchors[-1]
-        shift = 2 * (LEVEL - anchor)
-        out.append((anchor, start >> shift << shift, start, end, whole))
+        shift = 2 * (LEVEL - max(a for a in ANCHORS if a <= level))
+        out.append((LEVEL - shift // 2, start >> shift << shift, start, start + (1 << 2 * (LEVEL - level)) - 1, (*corner, near) if near else None))
+
+    walk(0, 0, 0, edges, (180.0, -90.0, _inside(180.0, -90.0, edges)))
     return out
 
 
 def region_cover(regions: DataFrame, key: str, wkt: str) -> DataFrame:
-    """(region_id, level, cell, inner, border, pieces): the anchor cells of each region.
+    """(region_id, level, cell, inner, border): the anchor cells of each region.
 
-    inner and border are arrays of code ranges (lo, hi), merged where they adjoin; pieces holds, for each polygon of
-    the region that has a border in the cell, the edges whose latitudes overlap the cell's: all that an even-odd test
-    needs for any point of the cell. Coordinates beyond 180 degrees are covered on both sides of the date line.
+    inner holds code ranges (lo, hi), merged where they adjoin; border the fine cells that a piece's edges meet, each
+    with the side of its corner and those edges alone, which is all that a test of its points needs, however many edges
+    the region has. Coordinates beyond 180 degrees are covered on both sides of the date line.
     """
-    schema = (
-        f"region_id {dict(regions.dtypes)[key]}, level int, cell long, inner array<struct<lo:long,hi:long>>, border array<struct<lo:long,hi:long>>,"
-        " pieces array<array<struct<ax:double,ay:double,bx:double,by:double>>>"
-    )
+    edge = "array<struct<ax:double,ay:double,bx:double,by:double>>"
+    schema = f"region_id {dict(regions.dtypes)[key]}, level int, cell long, inner array<struct<lo:long,hi:long>>, border array<struct<lo:long,hi:long,cx:double,cy:double,odd:boolean,edges:{edge}>>"
 
     def merged(ranges: list[tuple[int, int]]) -> list[dict]:
         out: list[list[int]] = []
@@ -356,28 +365,22 @@ def region_cover(regions: DataFrame, key: str, wkt: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
             for region_id, text in zip(pdf["region_id"], pdf["wkt"], strict=True):
-                cells: dict[tuple[int, int], tuple[list, list, list]] = {}
+                cells: dict[tuple[int, int], tuple[list, list]] = {}
                 for piece in parse_wkt(text):
                     xs = [p[0] for ring in piece for p in ring]
                     for shift in (0.0, -360.0, 360.0):
                         if min(xs) + shift > 180 or max(xs) + shift < -180:
                             continue
-                        edges = _edges(piece, shift)
-                        borders = set()
-                        for level, cell, lo, hi, whole in cover_piece(edges):
-                            at = cells.setdefault((level, cell), ([], [], []))
-                            at[0 if whole else 1].append((lo, hi))
-                            if not whole:
-                                borders.add((level, cell))
-                        for level, cell in borders:
-                            y = sum((cell >> 2 * (LEVEL - level) + 2 * i + 1 & 1) << i for i in range(level))
-                            h = 180.0 / (1 << level)
-                            y0, y1 = y * h - 90.0, (y + 1) * h - 90.0
-                            cells[level, cell][2].append([{"ax": a, "ay": b, "bx": c, "by": d} for a, b, c, d in edges if min(b, d) <= y1 and max(b, d) >= y0])
-                rows += [(region_id, level, cell, merged(i), merged(b), pieces) for (level, cell), (i, b, pieces) in cells.items()]
-            yield pd.DataFrame(rows, columns=["region_id", "level", "cell", "inner", "border", "pieces"])
+                        for level, cell, lo, hi, border in cover_piece(_edges(piece, shift)):
+                            at = cells.setdefault((level, cell), ([], []))
+                            if border is None:
+                                at[0].append((lo, hi))
+                            else:
+                                cx, cy, odd, near = border
+                                at[1].append({"lo": lo, "hi": hi, "cx": cx, "cy": cy, "odd": odd, "edges": [{"ax": a, "ay": b, "bx": c, "by": d} for a, b, c, d in near]})
+                rows = [(region_id, level, cell, merged(i), b) for (level, cell), (i, b) in cells.items()]
+                yield pd.DataFrame(rows, columns=["region_id", "level", "cell", "inner", "border"])
 
     source = regions.where(F.col(key).isNotNull()).select(F.col(key).alias("region_id"), F.col(wkt).alias("wkt"))
     return source.mapInPandas(run, schema)
@@ -395,14 +398,23 @@ def points_in_regions(points: DataFrame, key: str, lat: str, lon: str, regions:
     pos = pos.withColumns({"x": x, "y": y}).withColumn("code", morton(F.col("x"), F.col("y"))).drop("x", "y")
     cells = F.array(*[F.struct(F.lit(a).alias("level"), F.shiftleft(F.shiftright("code", 2 * (LEVEL - a)), 2 * (LEVEL - a)).alias("cell")) for a in ANCHORS])
     pos = pos.select("left_id", "la", "lo", "code", F.inline(cells))
-    within = lambda ranges: F.exists(ranges, lambda r: F.col("code").between(r["lo"], r["hi"]))
+    la, lo = F.col("la"), F.col("lo")
+
+    def crossings(b: Column) -> Column:
+        """Edges between the point and the corner, as in ``_odd_at``."""
+
+        def up(e: Column) -> Column:
+            slope = (e["by"] - e["ay"]) / (e["bx"] - e["ax"])
+            at = (b["cx"] - e["ax"]) * slope + e["ay"]
+            between = ((at > b["cy"]) | (at == b["cy"]) & (slope > 0)) & ((at < la) | (at == la) & (slope <= 0))
+            return F.when((e["ax"] > b["cx"]) != (e["bx"] > b["cx"]), between.cast("int")).otherwise(0)
+
+        def left(e: Column) -> Column:
+            at = (e["bx"] - e["ax"]) * (la - e["ay"]) / (e["by"] - e["ay"]) + e["ax"]
+            return F.when((e["ay"] > la) != (e["by"] > la), ((lo < at) & (at <= b["cx"])).cast("int")).otherwise(0)
 
-    def crosses(e: Column) -> Column:
-        spans = (e["ay"] > F.col("la")) != (e["by"] > F.col("la"))
-        at = (e["bx"] - e["ax"]) * (F.col("la") - e["ay"]) / (e["by"] - e["ay"]) + e["ax"]
-        return spans & (F.col("lo") < at)
+        return F.aggregate(b["edges"], b["odd"].cast("int"), lambda n, e: n + up(e) + left(e))
 
-    odd = lambda piece: F.size(F.filter(piece, crosses)) % 2 == 1
-    contained = within("inner") | (within("border") & F.exists("pieces", odd))
+    contained = F.exists("inner", lambda r: F.col("code").between(r["lo"], r["hi"])) | F.exists("border", lambda b: F.col("code").between(b["lo"], b["hi"]) & (crossings(b) % 2 == 1))
     hits = pos.join(cover, ["level", "cell"]).where(contained)
     return hits.select("left_id", F.col("region_id").alias("right_id")).distinct()
