@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from gridloom.session import forget, materialise
 
+#: Pairs of a component that one task walks, about 100 bytes each.
+TASK_PAIRS = 100_000
+
 
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, root): each node of an edge with the least node it is joined to.
@@ -50,22 +53,48 @@ def closure(edges: DataFrame, parent: str, child: str, depth: int) -> DataFrame:
     return found
 
 
-def greedy_one_to_one(pairs: DataFrame, left: str, right: str, score: str) -> DataFrame:
+def greedy_one_to_one(pairs: DataFrame, left: str, right: str, score: str, rounds: int = 4, task_pairs: int = TASK_PAIRS) -> DataFrame:
     """Pairs taken from the best score down, ties by ids, each side once.
 
     Equal to the sequential rule: a pair that is the best of both its ends is taken there in any order, so rounds of
-    mutual best pairs give the same choice. Each round is two maxima and two anti-joins.
+    mutual best pairs give the same choice. Each round is two maxima and two anti-joins. Chains of falling scores would
+    take a round a pair; so what is left after ``rounds`` is cut into its components, those up to ``task_pairs`` pairs
+    are walked in a task each, and only larger ones go round further. Repeated pairs count once, at their best score.
     """
     rank = F.struct(F.col(score), (-F.col(left)).alias("_a"), (-F.col(right)).alias("_b"))
-    rest = materialise(pairs.select(left, right, score), "pairs")
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.select(left, right, score).schema}
+    rest = materialise(pairs.groupBy(left, right).agg(F.max(score).alias(score)), "pairs")
     taken: list[DataFrame] = []
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        used_l, used_r, keep = set(), set(), []
+        for i, (x, y) in enumerate(pdf.sort_values([score, left, right], ascending=[False, True, True], ignore_index=True)[[left, right]].itertuples(index=False)):
+            if x not in used_l and y not in used_r:
+                used_l.add(x)
+                used_r.add(y)
+                keep.append(i)
+        return pdf.sort_values([score, left, right], ascending=[False, True, True], ignore_index=True).iloc[keep][[left, right, score]]
+
+    turn = 0
     while rest.take(1):
-        ranked = rest.withColumn("_rank", rank)
-        best_l = ranked.groupBy(left).agg(F.max("_rank").alias("_l"))
-        best_r = ranked.groupBy(right).agg(F.max("_rank").alias("_r"))
-        best = materialise(ranked.join(best_l, left).join(best_r, right).where("_rank = _l and _rank = _r").select(left, right, score), "best")
-        taken.append(best)
-        rest = materialise(rest.join(best.select(left), left, "left_anti").join(best.select(right), right, "left_anti").select(left, right, score), "pairs")
+        if turn == rounds:
+            tag = lambda side, c: F.concat(F.lit(side), F.col(c).cast("string"))
+            roots = components(rest.select(tag("l", left).alias("x"), tag("r", right).alias("y")), "x", "y")
+            grouped = materialise(rest.join(roots, tag("l", left) == F.col("node")).select(left, right, score, "root"), "grouped")
+            sized = grouped.join(grouped.groupBy("root").agg(F.count(F.lit(1)).alias("_n")), "root")
+            taken.append(materialise(sized.where(F.col("_n") <= task_pairs).groupBy("root").applyInPandas(walk, ", ".join(f"`{n}` {t}" for n, t in kinds.items())), "best"))
+            following = materialise(sized.where(F.col("_n") > task_pairs).select(left, right, score), "pairs")
+            forget(grouped)
+        else:
+            ranked = rest.withColumn("_rank", rank)
+            best_l = ranked.groupBy(left).agg(F.max("_rank").alias("_l"))
+            best_r = ranked.groupBy(right).agg(F.max("_rank").alias("_r"))
+            best = materialise(ranked.join(best_l, left).join(best_r, right).where("_rank = _l and _rank = _r").select(left, right, score), "best")
+            taken.append(best)
+            following = materialise(rest.join(best.select(left), left, "left_anti").join(best.select(right), right, "left_anti").select(left, right, score), "pairs")
+        forget(rest)
+        rest = following
+        turn += 1
     out = taken[0] if taken else rest
     for t in taken[1:]:
         out = out.unionByName(t)

@@ -51,6 +51,14 @@ def test_indel_ratio():
     assert tx.token_set_score("b a", "a b") == 100 and tx.token_set_score(None, "x") is None
 
 
+def test_falling_chain_is_taken_like_one_by_one(spark, rows):
+    # Each pair is beaten by the one before it, so mutual best pairs alone would take a round for every second pair.
+    chain = [(i // 2, (i + 1) // 2, 100.0 - i) for i in range(60)]
+    df = spark.createDataFrame(chain, "l long, r long, s double")
+    for limit in (100_000, 10):
+        assert rows(graph.greedy_one_to_one(df, "l", "r", "s", rounds=2, task_pairs=limit)) == sorted([p for p in chain if p[0] == p[1]], key=repr)
+
+
 def test_components_closure_and_unions(spark, rows):
     rng = random.Random(2)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, x) for x in range(101, 140)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
