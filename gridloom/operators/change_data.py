@@ -120,6 +120,33 @@ def upsert(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], value: s
     return kept.unionByName(incoming), moved.where(changed).select(*keys, "before", "after")
 
 
+def merged_assets(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """(keys, fields, change): stored rows with what the incoming ones state; ``added``, ``updated``, ``same`` or ``kept``.
+
+    A field that the incoming row leaves null keeps its stored value. Keys are unique on both sides.
+    """
+    a = stored.select(*keys, *[F.col(f).alias(f"_a_{f}") for f in fields], F.lit(True).alias("_a"))
+    b = incoming.select(*keys, *[F.col(f).alias(f"_b_{f}") for f in fields], F.lit(True).alias("_b"))
+    moved = F.lit(False)
+    for f in fields:
+        moved = moved | (F.col(f"_b_{f}").isNotNull() & ~F.col(f"_b_{f}").eqNullSafe(F.col(f"_a_{f}")))
+    change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "kept").when(moved, "updated").otherwise("same")
+    return a.join(b, list(keys), "full_outer").select(*keys, *[F.coalesce(f"_b_{f}", f"_a_{f}").alias(f) for f in fields], change.alias("change"))
+
+
+def snapshot_stats(df: DataFrame, by: str, columns: Sequence[str], vocabulary: str) -> DataFrame:
+    """(by, rows, <column>_missing …, words): rows, shares of missing values and the sorted values of a small vocabulary."""
+    missing = [F.avg(F.col(c).isNull().cast("double")).alias(f"{c}_missing") for c in columns]
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), *missing, F.array_join(F.array_sort(F.collect_set(vocabulary)), "|").alias("words"))
+
+
+def vocabulary_drift(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
+    """(value, drift): values that came or went between two frames."""
+    a, b = before.select(column).distinct().withColumn("_a", F.lit(1)), after.select(column).distinct().withColumn("_b", F.lit(1))
+    j = a.join(b, column, "full_outer").where("_a is null or _b is null")
+    return j.select(F.col(column).alias("value"), F.when(F.col("_a").isNull(), "new").otherwise("gone").alias("drift"))
+
+
 def transitions(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, transition): added, removed or kept members between two sets."""
     a = before.select(*keys).distinct().withColumn("_a", F.lit(True))

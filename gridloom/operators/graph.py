@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,13 +105,14 @@ def greedy_one_to_one(pairs: DataFrame, left: str, right: str, score: str, round
 def vetoed_unions(edges: DataFrame, roots: DataFrame, kinds: DataFrame) -> DataFrame:
     """(node, cluster): unions in score order, refused where the two sides hold conflicting kinds.
 
-    ``edges`` (left, right, score), ``roots`` (node, root) of the unconstrained components, ``kinds`` (node, kind; null
-    fits all). Order matters only within a component, so each is walked in its own task; nodes of one component are
+    ``edges`` (left, right, score and, if stated, sure: those come first), ``roots`` (node, root) of the unconstrained
+    components, ``kinds`` (node, kind; null fits all). Order matters only within a component, so each is walked in its own task; nodes of one component are
     few where edges are matches above a threshold.
     """
     facts = roots.join(kinds, "node", "left").select("node", "kind", F.col("root").alias("component"))
     of = roots.select(F.col("node").alias("left"), F.col("root").alias("walk"))
-    e = edges.join(of, "left").select("walk", "left", "right", "score")
+    sure = F.coalesce("sure", F.lit(False)) if "sure" in edges.columns else F.lit(False)
+    e = edges.join(of, "left").select("walk", "left", "right", "score", sure.alias("sure"))
 
     def walk(es: pd.DataFrame, ns: pd.DataFrame) -> pd.DataFrame:
         parent = {n: n for n in ns["node"]}
@@ -122,7 +124,7 @@ def vetoed_unions(edges: DataFrame, roots: DataFrame, kinds: DataFrame) -> DataF
                 n = parent[n]
             return n
 
-        for a, b in es.sort_values(["score", "left", "right"], ascending=[False, True, True])[["left", "right"]].itertuples(index=False):
+        for a, b in es.sort_values(["sure", "score", "left", "right"], ascending=[False, False, True, True])[["left", "right"]].itertuples(index=False):
             x, y = top(a), top(b)
             if x != y and not (kind[x] and kind[y] and kind[x] != kind[y]):
                 x, y = min(x, y), max(x, y)
@@ -158,32 +160,34 @@ def row_numbered(df: DataFrame, order: str) -> DataFrame:
 
 
 def bounded_clusters(pairs: DataFrame, roots: DataFrame, places: DataFrame, widest_m: float) -> DataFrame:
-    """(node, cluster): nearest pairs joined first, refused where the joined cluster would be wider than ``widest_m``.
+    """(node, cluster): nearest pairs joined first, refused where the joined cluster would be wider than ``widest_m`` or
+    would hold two identities.
 
-    ``pairs`` (left, right, metres), ``roots`` (node, root) of the components of the pairs, ``places`` (node, lat, lon).
-    Order matters only within a component, so each is walked in its own task.
+    ``pairs`` (left, right, metres), ``roots`` (node, root) of the components of the pairs, ``places`` (node, lat, lon
+    and, if stated, identity; null fits all). Order matters only within a component, so each is walked in its own
+    task. Both sides are within the width already, so only distances across are measured.
     """
-    import numpy as np
-
-    facts = roots.join(places, "node").select("node", "lat", "lon", F.col("root").alias("component"))
+    identity = F.col("identity").cast("string") if "identity" in places.columns else F.lit(None).cast("string")
+    facts = roots.join(places.withColumn("_who", identity), "node").select("node", "lat", "lon", F.col("_who").alias("who"), F.col("root").alias("component"))
     e = pairs.join(roots.select(F.col("node").alias("left"), F.col("root").alias("walk")), "left").select("walk", "left", "right", "metres")
 
-    def width(points: list[tuple[float, float]]) -> float:
-        a = np.radians(np.array(points))
-        la, lo = a[:, 0], a[:, 1]
-        h = np.sin((la[:, None] - la) / 2) ** 2 + np.cos(la)[:, None] * np.cos(la) * np.sin((lo[:, None] - lo) / 2) ** 2
+    def across(a: np.ndarray, b: np.ndarray) -> float:
+        h = np.sin((a[:, None, 0] - b[None, :, 0]) / 2) ** 2 + np.cos(a[:, None, 0]) * np.cos(b[None, :, 0]) * np.sin((a[:, None, 1] - b[None, :, 1]) / 2) ** 2
         return float(2 * 6_371_008.8 * np.arcsin(np.sqrt(np.minimum(1, h))).max())
 
     def walk(es: pd.DataFrame, ns: pd.DataFrame) -> pd.DataFrame:
-        at = {n: (la, lo) for n, la, lo in ns[["node", "lat", "lon"]].itertuples(index=False)}
-        of = {n: n for n in at}
-        members = {n: [n] for n in at}
+        nodes = ns["node"].tolist()
+        of = {n: n for n in nodes}
+        members = {n: [n] for n in nodes}
+        at = {n: np.radians([[la, lo]]) for n, la, lo in ns[["node", "lat", "lon"]].itertuples(index=False)}
+        who = {n: {w} if isinstance(w, str) else set() for n, w in zip(nodes, ns["who"], strict=True)}
         for a, b in es.sort_values(["metres", "left", "right"])[["left", "right"]].itertuples(index=False):
             x, y = sorted((of[a], of[b]))
-            if x != y and width([at[n] for n in members[x] + members[y]]) <= widest_m:
+            if x != y and len(who[x] | who[y]) < 2 and across(at[x], at[y]) <= widest_m:
                 for n in members[y]:
                     of[n] = x
                 members[x] += members.pop(y)
-        return pd.DataFrame({"node": list(of), "cluster": list(of.values())})
+                at[x], who[x] = np.concatenate([at[x], at.pop(y)]), who[x] | who.pop(y)
+        return pd.DataFrame({"node": nodes, "cluster": [of[n] for n in nodes]})
 
     return e.groupBy("walk").cogroup(facts.groupBy("component")).applyInPandas(walk, "node long, cluster long")

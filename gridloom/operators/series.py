@@ -99,10 +99,10 @@ def basis_breaks(df: DataFrame, keys: Sequence[str], period: str, basis: str) ->
     return df.withColumn("previous_basis", before).where(F.col("previous_basis").isNotNull() & (F.col("previous_basis") != F.col(basis)))
 
 
-def zero_filled(df: DataFrame, key: str, period: str, value: str) -> DataFrame:
-    """(key, period, value) for every key and every month between the first and the last, absent ones as 0."""
+def zero_filled(df: DataFrame, key: str, period: str, value: str, step: str = "1 month") -> DataFrame:
+    """(key, period, value) for every key and every period between the first and the last, absent ones as 0."""
     span = df.agg(F.min(period).alias("a"), F.max(period).alias("b")).where("a is not null")
-    months = span.select(F.explode(F.expr("sequence(a, b, interval 1 month)")).alias(period))
+    months = span.select(F.explode(F.expr(f"sequence(a, b, interval {step})")).alias(period))
     grid = df.select(key).distinct().join(F.broadcast(months))
     return grid.join(df.select(key, period, value), [key, period], "left").withColumn(value, F.coalesce(value, F.lit(0)))
 

@@ -207,3 +207,30 @@ def docket_years(spark: SparkSession, d: str) -> DataFrame:
     """Class and year of the docket each document names, within a range of years."""
     year, kind = tx.docket_year(F.col("docket_ref"))
     return table(spark, d, "documents").select("doc_id", year.alias("year"), kind.alias("class")).where("class is not null and year between 20 and 30")
+
+
+@REG.add("pair_scores", """
+WITH p AS (SELECT p_partkey AS id, p_partkey % 3 AS s, p_brand AS b, string_split(p_name, ' ') AS w, p_type AS sponsor, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN p_type || 'S' ELSE p_type END AS county, CASE WHEN p_partkey % 9 <> 0 THEN p_retailprice END AS x, CASE WHEN p_partkey % 5 <> 0 THEN DATE '2024-01-01' + CAST(p_size * 40 AS INTEGER) END AS d FROM part),
+q AS (SELECT l.id AS l, r.id AS r, 100.0 * len(list_intersect(l.w, r.w)) / len(list_distinct(list_concat(l.w, r.w))) AS name, CASE WHEN l.sponsor = r.sponsor THEN 100.0 ELSE 20.0 END AS sponsor, l.county AS lc, r.county AS rc, least(l.x, r.x) / greatest(l.x, r.x) AS ratio, abs(datediff('day', l.d, r.d)) AS days, l.x AS lx, r.x AS rx
+      FROM p l JOIN p r ON l.b = r.b AND l.s <> r.s AND l.id < r.id AND len(list_intersect(l.w, r.w)) > 0),
+c AS (SELECT l, r, CAST(name AS DOUBLE) AS name, CASE WHEN NOT (sponsor < 50 AND name >= 90 AND coalesce(lc = rc, false)) THEN CAST(sponsor AS DOUBLE) END AS sponsor, CASE WHEN lc = rc THEN 100.0 WHEN contains(lc, rc) OR contains(rc, lc) THEN 80.0 WHEN lc IS NOT NULL AND rc IS NOT NULL THEN 0.0 END::DOUBLE AS county,
+      CASE WHEN lx IS NOT NULL AND rx IS NOT NULL THEN greatest(0.0, 100 * (ratio - (1 - 0.1::DOUBLE)) / 0.1::DOUBLE) END AS capacity, CASE WHEN days IS NOT NULL THEN greatest(0.0, 100 - days / 3.65::DOUBLE) END AS dates, coalesce(ratio < 0.93::DOUBLE, false) AS far FROM q),
+e AS (SELECT *, CASE WHEN name IS NOT NULL THEN 0.4 ELSE 0 END + CASE WHEN sponsor IS NOT NULL THEN 0.25 ELSE 0 END + CASE WHEN county IS NOT NULL THEN 0.2 ELSE 0 END + CASE WHEN capacity IS NOT NULL THEN 0.1 ELSE 0 END + CASE WHEN dates IS NOT NULL THEN 0.05 ELSE 0 END AS ev FROM c)
+SELECT l, r, round((coalesce(name * 0.4::DOUBLE, 0) + coalesce(sponsor * 0.25::DOUBLE, 0) + coalesce(county * 0.2::DOUBLE, 0) + coalesce(capacity * 0.1::DOUBLE, 0) + coalesce(dates * 0.05::DOUBLE, 0)) / CAST(ev AS DOUBLE), 4) AS score, CAST(round(ev, 2) AS DOUBLE) AS evidence, CASE WHEN far THEN 'capacity' ELSE '' END AS veto,
+       ev >= 0.5 AND (coalesce(name * 0.4::DOUBLE, 0) + coalesce(sponsor * 0.25::DOUBLE, 0) + coalesce(county * 0.2::DOUBLE, 0) + coalesce(capacity * 0.1::DOUBLE, 0) + coalesce(dates * 0.05::DOUBLE, 0)) / CAST(ev AS DOUBLE) >= 75 AND NOT far AS accepted FROM e""")
+def pair_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of one brand that share a word of their names, across sources: five components, evidence gate and veto."""
+    k = F.col("p_partkey")
+    county = F.when(k % 4 == 1, F.concat("p_type", F.lit("S"))).when(k % 4 != 0, F.col("p_type"))
+    rows = _parts(spark, d).select(
+        k.alias("id"), "s", "p_brand", F.split("p_name", " ").alias("w"), F.col("p_type").alias("sponsor"), county.alias("county"), F.when(k % 9 != 0, F.col("p_retailprice")).alias("capacity"),
+        F.when(k % 5 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("p_size") * 40).cast("int"))).alias("date"), F.array().cast("array<int>").alias("phases"),
+    )
+    side = lambda n: rows.select("p_brand", F.explode(F.array_distinct("w")).alias("_w"), F.struct(*rows.columns).alias(n))
+    pairs = side("left").join(side("right"), ["p_brand", "_w"]).where((F.col("left.s") != F.col("right.s")) & (F.col("left.id") < F.col("right.id"))).select("left", "right").distinct()
+    name = 100 * tx.jaccard(F.col("left.w"), F.col("right.w"))
+    parts = resolution.pair_components(name, F.when(F.col("left.sponsor") == F.col("right.sponsor"), 100.0).otherwise(20.0))
+    far = F.least("left.capacity", "right.capacity") / F.greatest("left.capacity", "right.capacity") < 0.93
+    far = F.col("left.capacity").isNotNull() & F.col("right.capacity").isNotNull() & far
+    out = resolution.accepted_pairs(pairs, parts, [("capacity", far)])
+    return out.select(F.col("left.id").alias("l"), F.col("right.id").alias("r"), F.round("score", 4).alias("score"), F.round("evidence", 2).alias("evidence"), "veto", "accepted")

@@ -257,3 +257,67 @@ def length_weighted_bands(spark: SparkSession, d: str) -> DataFrame:
     return g.agg(
         F.min("i").alias("first"), F.max("i").alias("last"), F.sum("len").alias("len"), (F.sum(F.col("len") * F.coalesce("share", F.lit(0.0))) / F.sum("len")).alias("share"), F.sum(F.when(F.col("share").isNull(), F.col("len")).otherwise(0.0)).alias("unstated")
     ).drop("island")
+
+
+@REG.add("asset_upsert", """
+WITH a AS (SELECT p_partkey AS k, p_name AS name, CASE WHEN p_size > 10 THEN p_size END AS size FROM part WHERE p_partkey % 3 <> 0), b AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 4 <> 0 THEN p_name ELSE upper(p_name) END AS name, CASE WHEN p_size > 25 THEN p_size END AS size FROM part WHERE p_partkey % 5 <> 0)
+SELECT coalesce(a.k, b.k) AS k, coalesce(b.name, a.name) AS name, coalesce(b.size, a.size) AS size, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'kept' WHEN b.name IS NOT NULL AND b.name IS DISTINCT FROM a.name OR b.size IS NOT NULL AND b.size IS DISTINCT FROM a.size THEN 'updated' ELSE 'same' END AS change FROM a FULL JOIN b ON a.k = b.k""")
+def asset_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Stored assets with what a new delivery states about them."""
+    from gridloom.operators.change_data import merged_assets
+
+    k, parts = F.col("p_partkey"), table(spark, d, "part")
+    a = parts.where(k % 3 != 0).select(k.alias("k"), F.col("p_name").alias("name"), F.when(F.col("p_size") > 10, F.col("p_size")).alias("size"))
+    b = parts.where(k % 5 != 0).select(k.alias("k"), F.when(k % 4 != 0, F.col("p_name")).otherwise(F.upper("p_name")).alias("name"), F.when(F.col("p_size") > 25, F.col("p_size")).alias("size"))
+    return merged_assets(a, b, ["k"], ["name", "size"])
+
+
+@REG.add("snapshot_stats", """
+SELECT strftime(snapshot_date, '%Y-%m-%d') AS day, count(*) AS rows, avg(CASE WHEN stage IS NULL THEN 1.0::DOUBLE ELSE 0.0 END) AS stage_missing, avg(CASE WHEN mw_connected IS NULL THEN 1.0::DOUBLE ELSE 0.0 END) AS mw_connected_missing, string_agg(DISTINCT plant_type, '|' ORDER BY plant_type) AS words FROM neso_tec_register GROUP BY 1""")
+def snapshot_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, missing values and vocabulary of each snapshot."""
+    from gridloom.operators.change_data import snapshot_stats as stats
+
+    rows = table(spark, d, "neso_tec_register").withColumn("day", F.date_format("snapshot_date", "yyyy-MM-dd"))
+    return stats(rows, "day", ["stage", "mw_connected"], "plant_type")
+
+
+@REG.add("vocabulary_drift", """
+WITH a AS (SELECT DISTINCT user_id AS v FROM events WHERE ts < TIMESTAMP '2024-01-02'), b AS (SELECT DISTINCT user_id AS v FROM events WHERE ts >= TIMESTAMP '2024-01-29' AND user_id % 2 = 0)
+SELECT coalesce(a.v, b.v) AS value, CASE WHEN a.v IS NULL THEN 'new' ELSE 'gone' END AS drift FROM a FULL JOIN b ON a.v = b.v WHERE a.v IS NULL OR b.v IS NULL""")
+def vocabulary_drift(spark: SparkSession, d: str) -> DataFrame:
+    """Values that came or went between two parts of the events."""
+    from gridloom.operators.change_data import vocabulary_drift as drift
+
+    events = table(spark, d, "events")
+    return drift(events.where(F.col("ts") < _TS("2024-01-02")), events.where(F.col("ts") >= _TS("2024-01-29")).where("user_id % 2 = 0"), "user_id")
+
+
+@REG.add("facets_with_unavailable", """
+SELECT l_returnflag, l_linestatus, count(*) AS bands, sum(CAST(l_quantity AS DECIMAL(18, 2))) AS miles, coalesce(sum(CAST(l_quantity AS DECIMAL(18, 2))) FILTER (l_tax = 0), 0) AS unavailable FROM lineitem WHERE l_quantity >= 5 GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())""")
+def facets_with_unavailable(spark: SparkSession, d: str) -> DataFrame:
+    """Bands and miles of each facet, and the miles that lack data, from one pass."""
+    miles = F.col("l_quantity").cast("decimal(18,2)")
+    g = table(spark, d, "lineitem").where("l_quantity >= 5").groupingSets([["l_returnflag"], ["l_linestatus"], []], "l_returnflag", "l_linestatus")
+    return g.agg(F.count(F.lit(1)).alias("bands"), F.sum(miles).alias("miles"), F.coalesce(F.sum(F.when(F.col("l_tax") == 0, miles)), F.lit(0).cast("decimal(18,2)")).alias("unavailable"))
+
+
+@REG.add("daily_lines", """
+WITH c AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE user_id % 40 = 1 GROUP BY 1, 2), s AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM c), (SELECT max(day) FROM c), INTERVAL 1 DAY)) AS DATE) AS day)
+SELECT k.event_type, strftime(s.day, '%Y-%m-%d') AS day, coalesce(n, 0) AS n FROM (SELECT DISTINCT event_type FROM c) k CROSS JOIN s LEFT JOIN c ON c.event_type = k.event_type AND c.day = s.day""")
+def daily_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A daily line for each type; days it is absent are zero."""
+    from gridloom.operators.series import zero_filled
+
+    counts = table(spark, d, "events").where("user_id % 40 = 1").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return zero_filled(counts, "event_type", "day", "n", "1 day").select("event_type", F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
+
+
+@REG.add("kept_lines", """
+SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_quantity < 3 THEN 'short' WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 'planned' WHEN l_discount > 0.08 THEN 'minor' ELSE 'kept' END AS reason FROM lineitem""")
+def kept_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each line is kept, and the first reason if it is not."""
+    from gridloom.operators.linking import first_veto
+
+    vetoes = [("short", F.col("l_quantity") < 3), ("planned", (F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O")), ("minor", F.col("l_discount") > 0.08)]
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.coalesce(first_veto(vetoes), F.lit("kept")).alias("reason"))

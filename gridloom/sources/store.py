@@ -18,16 +18,26 @@ def stamped(rows: DataFrame, source_id: str, key: str, source_url: str, licence_
     """
     trimmed = F.trim(F.col(key).cast("string"))
     checked = F.when(F.coalesce(trimmed, F.lit("")) == "", F.raise_error(F.lit(f"{source_id}: a row has no {key}")).cast("string")).otherwise(trimmed)
-    raw = F.to_json(F.struct(*rows.columns))
+    raw = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
     return rows.withColumn("raw", raw).withColumns({
         "source_record_id": checked, "record_id": F.concat(F.lit(f"{source_id}:"), checked), "source_id": F.lit(source_id), "source_url": F.lit(source_url),
         "licence_id": F.lit(licence_id), "retrieved_at": retrieved_at,
     })
 
 
-def content_hash(columns: Sequence[str]) -> Column:
-    """A stable id from identifying columns; null and empty differ."""
-    return F.sha1(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns]))
+def six_figures(value: Column) -> Column:
+    """A number as text with six significant figures, so that 100, 100.0 and '100.00' agree; other texts as they are."""
+    number = value.cast("string").try_cast("double")
+    scale = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(number))) - 5)
+    rounded = F.when(number == 0, F.lit(0.0)).otherwise(F.round(number / scale) * scale)
+    plain = F.regexp_replace(F.format_string("%.6e", rounded), r"0+e", "e")
+    return F.when(number.isNotNull() & ~F.isnan(number), plain).otherwise(value.cast("string"))
+
+
+def content_hash(columns: Sequence[str], numbers: Sequence[str] = ()) -> Column:
+    """A stable id from identifying columns; null and empty differ, ``numbers`` count at six significant figures."""
+    text = lambda c: six_figures(F.col(c)) if c in numbers else F.col(c).cast("string")
+    return F.sha1(F.concat_ws("\u001f", *[F.coalesce(text(c), F.lit("\u0000")) for c in columns]))
 
 
 def flat(df: DataFrame) -> DataFrame:

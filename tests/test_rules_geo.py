@@ -92,3 +92,35 @@ def test_links_on_edges(spark, rows):
     n = spark.createDataFrame([("TX", "oak hill", 1, 138.0), ("TX", "oak hill", 2, 345.0), ("TX", "oak hill north", 3, None), ("TX", "elm", 4, None), ("TX", "elm", 5, None), ("NM", "zzz", 6, None)], "b string, name string, node long, v double")
     got = {(r["name"]): (r["node"], r["tier"]) for r in linking.tiered_names(q, n, "b", "name", "node", "v", 80.0, 5.0).collect()}
     assert got == {"oak hill": (1, "exact"), "oak hil north": (3, "fuzzy"), "elm": (None, "ambiguous"), "zzz": (None, "none")}
+
+
+def test_cache_by_data_version(spark):
+    from gridloom.cache import VersionedCache
+
+    now = [0.0]
+    cache, built = VersionedCache(most=2, ttl_s=10, clock=lambda: now[0]), []
+    get = lambda k, v: cache.get(k, v, lambda: built.append((k, v)) or spark.range(1))
+    get("a", 1), get("a", 1), get("a", 2), get("b", 1), get("c", 1)
+    assert built == [("a", 1), ("a", 2), ("b", 1), ("c", 1)] and len(cache) == 2
+    now[0] = 11.0
+    get("c", 1)
+    assert built[-1] == ("c", 1) and len(built) == 5
+
+
+def test_numbers_in_hashes_agree(spark):
+    from gridloom.sources.store import content_hash
+
+    df = spark.createDataFrame([("100", "a"), ("100.0", "a"), ("1e2", "a"), ("100.00001", "a"), ("100.01", "a"), ("x", "a"), (None, "a"), ("0", "a")], "n string, t string")
+    got = [r[0] for r in df.select(content_hash(["n", "t"], ["n"])).collect()]
+    assert len(set(got[:4])) == 1 and len(set(got[3:])) == 5
+
+
+def test_identities_keep_clusters_apart(spark, rows):
+    from gridloom.operators import graph
+
+    places = spark.createDataFrame([(1, 0.0, 0.0, "a"), (2, 0.0, 0.001, None), (3, 0.0, 0.002, "b")], "node long, lat double, lon double, identity string")
+    pairs = spark.createDataFrame([(1, 2, 111.0), (2, 3, 112.0)], "left long, right long, metres double")
+    assert rows(graph.bounded_clusters(pairs, graph.components(pairs, "left", "right"), places, 1_000.0)) == [(1, 1), (2, 1), (3, 3)]
+    edges = spark.createDataFrame([(1, 2, 100.0, False), (2, 3, 90.0, True)], "left long, right long, score double, sure boolean")
+    kinds = spark.createDataFrame([(1, "x"), (2, None), (3, "y")], "node long, kind string")
+    assert rows(graph.vetoed_unions(edges, graph.components(edges, "left", "right"), kinds)) == [(1, 1), (2, 2), (3, 2)]
