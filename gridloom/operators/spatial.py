@@ -206,10 +206,14 @@ def near_pairs(points: DataFrame, key: str, lat: str, lon: str, radius_m: float,
     x, y = cell_xy(F.col("lo"), F.col("la"))
     spots = pos.groupBy("la", "lo", "side").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("one"))
     spots = materialise(spots.withColumns({"x": x, "y": y}).select("la", "lo", morton(F.col("x"), F.col("y")).alias("code"), "n", "one", "side"), "spots")
-    parts = max(spark.sparkContext.defaultParallelism, math.ceil(spots.count() / SPOTS_PER_PART))
-    # At most one number for each part.
-    splits = spots.agg(F.percentile_approx("code", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
-    splits = sorted(set(splits or []))
+    # At most one number for each part; a second pass only where the tasks that can run at once are too few parts.
+    parts = spark.sparkContext.defaultParallelism
+    cuts = lambda n: F.percentile_approx("code", [i / n for i in range(1, n)] or [0.5], 10_000).alias("cuts")
+    facts = spots.agg(F.count(F.lit(1)).alias("n"), cuts(parts)).first()
+    if facts["n"] > parts * SPOTS_PER_PART:
+        parts = math.ceil(facts["n"] / SPOTS_PER_PART)
+        facts = spots.agg(cuts(parts)).first()
+    splits = sorted(set(facts["cuts"] or [])) if parts > 1 else []
     offered = spots.mapInArrow(_offers(splits, radius_m), _SPOT.format(key=kind) + ", part int, low long, high long")
     out = ", ".join(f"la{k} double, lo{k} double, n{k} long, one{k} {kind}, side{k} int" for k in (1, 2))
     pairs = materialise(offered.repartitionById(len(splits) + 1, "part").mapInArrow(_sweep(radius_m, side is not None), out), "spot-pairs")
