@@ -75,3 +75,17 @@ def test_sessions_are_drained_from_a_stream(spark, tmp_path, monkeypatch):
         last[k] = at
     assert got == [tuple(r) for r in expected]
     assert drained == [(True, "complete")]
+
+
+def test_windows_drop_rows_behind_the_watermark(spark, rows, tmp_path):
+    minute = lambda m: START + timedelta(minutes=m)
+    # The fourth file's first row is five hours old when it comes, its second one only half an hour. The watermark that
+    # tells late rows is that of the batch before.
+    batches = [[("a", minute(0), 1.0), ("a", minute(5), 2.0)], [("a", minute(300), 1.0)], [("a", minute(301), 1.0)], [("a", minute(7), 4.0), ("a", minute(270), 8.0)], [("a", minute(900), 1.0)]]
+    written(spark, tmp_path, "events", batches, "kind string, ts timestamp, value double")
+    stream = st.read_table_stream(spark, str(tmp_path), "events", 1)
+    out = st.drain(st.tumbling(stream, "ts", "1 hour", ["kind"], late="1 hour"), "append", "late")
+    got = {(r["window"]["start"] - START).seconds // 60: (r["events"], r["total"]) for r in out.collect()}
+    assert got == {0: (2, 3.0), 240: (1, 8.0), 300: (2, 2.0)}
+    once = st.drain(st.once(st.read_table_stream(spark, str(tmp_path), "events", 1), "kind", "ts", late="1 hour").select("kind", "ts"), "append", "once-late")
+    assert rows(once.select("kind"))[0] == ("a",) and once.where(once.ts == minute(5)).count() + once.where(once.ts == minute(0)).count() == 1
