@@ -6,9 +6,12 @@ import itertools
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import resolution
+from gridloom.functions import text as tx
+from gridloom.operators import graph, resolution
+from gridloom.plans import texts
 
 
 def _parts(spark, path, n=160, many=False):
@@ -32,3 +35,17 @@ def test_amounts_apart_by_the_tolerance_pair(spark, rows):
     far = [(float(x), x * (1 - 0.1)) for x in range(1, 20_000) if math.floor(math.log(x) / step) - math.floor(math.log(x * (1 - 0.1)) / step) > 1] or [(1.0, 0.9)]
     df = spark.createDataFrame([(2 * i + j, i, v) for i, two in enumerate(far) for j, v in enumerate(two)], "k long, b long, v double")
     assert resolution.banded_pairs(df, "k", ["b"], "v", 0.1).count() == len(far)
+
+
+@pytest.mark.parametrize("name", ["token_set_ratio", "token_similarity"])
+def test_names_are_compared_before_pairs_are_unfolded(spark, tmp_path, name):
+    _parts(spark, tmp_path, 20)
+    plan = getattr(texts, name)(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    mark = "ArrowEvalPython" if name == "token_set_ratio" else "array_intersect"
+    assert plan.rindex("Generate explode(_xs") < plan.index(mark)
+
+
+def test_unlike_names_are_not_paired(spark, tmp_path):
+    _parts(spark, tmp_path, 20)
+    plan = texts.pair_score_accept(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "0.9)" in plan[plan.rindex("Generate explode(_xs"):]
