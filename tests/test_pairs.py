@@ -49,3 +49,22 @@ def test_unlike_names_are_not_paired(spark, tmp_path):
     _parts(spark, tmp_path, 20)
     plan = texts.pair_score_accept(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "0.9)" in plan[plan.rindex("Generate explode(_xs"):]
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_links_join_what_all_pairs_join(spark, rows, tmp_path, many):
+    _parts(spark, tmp_path, 160, many)
+    d = str(tmp_path)
+    every = texts._scored_parts(spark, d, 0.99)
+    roots = graph.components(every, "l", "r")
+    assert rows(texts.dedupe_clusters(spark, d)) == rows(roots)
+    kinds = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("node"), F.col("p_type").alias("kind"))
+    want = graph.vetoed_unions(every.select(F.col("l").alias("left"), F.col("r").alias("right"), "score"), roots, kinds)
+    assert rows(texts.kind_veto_clusters(spark, d)) == rows(want)
+
+
+def test_links_are_fewer_than_parts(spark, tmp_path):
+    spark.range(300).selectExpr("id p_partkey", "'red ring' p_name", "'x' p_brand", "'p' p_type", "1 p_size", "100D + id % 3 p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    assert texts._accepted_links(spark, str(tmp_path), 0.99).count() < 300
+    assert texts._accepted_links(spark, str(tmp_path), 0.99, kinds=True).count() < 300
+    assert tx.token_set_score("red ring", "ring red") == 100
