@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Callable, Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -102,6 +105,43 @@ def greedy_one_to_one(pairs: DataFrame, left: str, right: str, score: str, round
     return out
 
 
+def greedy_neighbours(rows: DataFrame, by: Sequence[str], key: str, amount: str, tolerance: float, score: Callable[[np.ndarray], np.ndarray], least: float) -> DataFrame:
+    """(l, r, score): ``greedy_one_to_one`` of the pairs within ``by``, the lesser key left, without listing them.
+
+    ``score`` is of the ratio of the lesser to the larger amount, both positive and at most ``tolerance`` of the larger
+    apart, and must not fall as it grows; pairs under ``least`` are left out. Each left keeps its best free right on a
+    heap and looks again when that is taken. A group is walked in one task, in space in proportion to its rows.
+    """
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key, ignore_index=True)
+        keys, v = pdf[key].to_numpy(), pdf[amount].to_numpy()
+        free = np.ones(len(v), bool)
+
+        def best(i: int) -> tuple | None:
+            at = np.flatnonzero(free[i + 1 :]) + i + 1
+            small, big = np.minimum(v[i], v[at]), np.maximum(v[i], v[at])
+            marks = np.where(small >= big * (1 - tolerance), score(small / big), -np.inf)
+            if not len(at) or (top := marks.max()) < least:
+                return None
+            return (-top, i, at[marks.argmax()])
+
+        heap = [x for i in range(len(v)) if (x := best(i))]
+        heapq.heapify(heap)
+        taken = []
+        while heap:
+            mark, i, j = heapq.heappop(heap)
+            if free[j]:
+                free[j] = False
+                taken.append((keys[i], keys[j], -mark))
+            elif x := best(i):
+                heapq.heappush(heap, x)
+        return pd.DataFrame(taken, columns=["l", "r", "score"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.groupBy(*by).applyInPandas(walk, f"l {kind}, r {kind}, score double")
+
+
 def vetoed_unions(edges: DataFrame, roots: DataFrame, kinds: DataFrame) -> DataFrame:
     """(node, cluster): unions in score order, refused where the two sides hold conflicting kinds.
 

@@ -68,3 +68,34 @@ def test_links_are_fewer_than_parts(spark, tmp_path):
     assert texts._accepted_links(spark, str(tmp_path), 0.99).count() < 300
     assert texts._accepted_links(spark, str(tmp_path), 0.99, kinds=True).count() < 300
     assert tx.token_set_score("red ring", "ring red") == 100
+
+
+def test_pair_scores_need_no_distinct(spark, tmp_path):
+    from gridloom.plans import linkplans
+
+    _parts(spark, tmp_path, 20)
+    assert "Aggregate" not in linkplans.pair_scores(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_parts_are_swept_once(spark, rows, tmp_path):
+    data = [(k, ("red ring", "blue bolt")[k % 2], "x", (None, "p", "q")[k % 3], 1, 100.0 + k % 5) for k in range(40)]
+    spark.createDataFrame(data, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    want = {t: [0, 0, 0, 0] for t in (0.5, 0.7, 0.9)}
+    for a, b in itertools.combinations(data, 2):
+        score = 0.6 * (a[1] == b[1]) + 0.4 * min(a[5], b[5]) / max(a[5], b[5])
+        for t in want:
+            want[t][2 * (score < t) + (a[3] is None or a[3] != b[3]) if score >= t else 2 + (a[3] is None or a[3] != b[3])] += 1
+    assert rows(texts.precision_recall_sweep(spark, str(tmp_path)).select("threshold", "tp", "fp", "fn", "tn")) == sorted((t, *n) for t, n in want.items())
+
+
+def test_greedy_neighbours_equal_the_listed_pairs(spark, rows):
+    rng = random.Random(3)
+    data = [(k, rng.choice("xy"), rng.choice([100.0, 100.0, 101.5, 103.0, 108.0, 112.0, 160.0])) for k in range(60)]
+    df = spark.createDataFrame(data, "k long, b string, v double")
+    mark = lambda ratio: (0.6 + ratio * 0.4) / (0.6 + 0.4)
+    pairs = [(a[0], b[0], mark(min(a[2], b[2]) / max(a[2], b[2]))) for a, b in itertools.combinations(data, 2) if a[1] == b[1] and min(a[2], b[2]) >= max(a[2], b[2]) * 0.9]
+    used_l, used_r, want = set(), set(), []
+    for l, r, s in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+        if s >= 0.97 and l not in used_l and r not in used_r:
+            used_l.add(l), used_r.add(r), want.append((l, r, s))
+    assert rows(graph.greedy_neighbours(df, ["b"], "k", "v", 0.1, mark, 0.97)) == sorted(want, key=repr)
