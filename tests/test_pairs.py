@@ -99,3 +99,17 @@ def test_greedy_neighbours_equal_the_listed_pairs(spark, rows):
         if s >= 0.97 and l not in used_l and r not in used_r:
             used_l.add(l), used_r.add(r), want.append((l, r, s))
     assert rows(graph.greedy_neighbours(df, ["b"], "k", "v", 0.1, mark, 0.97)) == sorted(want, key=repr)
+
+
+def test_alike_names_are_those_of_all_pairs(spark, rows):
+    from gridloom.operators import linking
+
+    rng = random.Random(2)
+    words = ["renewable", "fuels", "ethanol", "llc", "oak", "ridge", "north", "energie", "élan", "oakridge"]
+    names = [" ".join(rng.choices(words, k=rng.randint(1, 5))).title() for _ in range(120)] + ["", "zzz", "oak oak oak ridge"]
+    df = spark.createDataFrame([(n,) for n in (*names, None)], "name string")
+    share = lambda a, b: bool({w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in a.lower()).split() if len(w) >= 4} & {w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in b.lower()).split() if len(w) >= 4})
+    want = {(a, b, tx.token_set_score(a, b)) for a in names for b in names if share(a, b) and tx.token_set_score(a, b) >= 85}
+    assert set(rows(linking.alike_names(df.withColumnRenamed("name", "_l"), df.withColumnRenamed("name", "_r"), [], 4, 85.0))) == want
+    i, _ = linking._may_reach(names, names, 85.0)
+    assert len(want) <= len(i) < len(names) ** 2 / 2
