@@ -111,5 +111,6 @@ def test_alike_names_are_those_of_all_pairs(spark, rows):
     share = lambda a, b: bool({w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in a.lower()).split() if len(w) >= 4} & {w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in b.lower()).split() if len(w) >= 4})
     want = {(a, b, tx.token_set_score(a, b)) for a in names for b in names if share(a, b) and tx.token_set_score(a, b) >= 85}
     assert set(rows(linking.alike_names(df.withColumnRenamed("name", "_l"), df.withColumnRenamed("name", "_r"), [], 4, 85.0))) == want
-    i, _ = linking._may_reach(names, names, 85.0)
+    i, *_ = linking._may_reach(names, names, 85.0)
     assert len(want) <= len(i) < len(names) ** 2 / 2
+    assert all(tx.indel_to(a)(b) == tx.indel_ratio(a, b) for a in names[-9:] for b in names)
