@@ -114,3 +114,14 @@ def test_alike_names_are_those_of_all_pairs(spark, rows):
     i, *_ = linking._may_reach(names, names, 85.0)
     assert len(want) <= len(i) < len(names) ** 2 / 2
     assert all(tx.indel_to(a)(b) == tx.indel_ratio(a, b) for a in names[-9:] for b in names)
+
+
+def test_fuzzy_names_need_no_shared_word(spark, rows):
+    from gridloom.operators import linking
+
+    left = ["Cargil", "Big Oak LP", "Énergié", "a b c", "Piuga Gooldantulim Bio-Enrgy", "", " ", None]
+    right = ["Cargill", "Big Oak LLP", "Énergie", "a b c", "Pirga Goldantulim BioEnergy", "Cargill", "", None]
+    a, b = (spark.createDataFrame(list(enumerate(n)), f"{k} int, name string") for n, k in ((left, "l"), (right, "r")))
+    want = [(i, j, s) for i, x in enumerate(left) for j, y in enumerate(right) if (s := tx.token_set_score(x, y)) is not None and s >= 85]
+    assert len(want) == 6
+    assert rows(linking.fuzzy_names(a, "l", b, "r", "name", 85.0)) == sorted(want, key=repr)
