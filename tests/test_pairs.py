@@ -125,3 +125,16 @@ def test_fuzzy_names_need_no_shared_word(spark, rows):
     want = [(i, j, s) for i, x in enumerate(left) for j, y in enumerate(right) if (s := tx.token_set_score(x, y)) is not None and s >= 85]
     assert len(want) == 6
     assert rows(linking.fuzzy_names(a, "l", b, "r", "name", 85.0)) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("name", ["block_pairs", "token_similarity"])
+def test_pairs_of_odd_prices_are_those_of_the_sql(spark, rows, tmp_path, name):
+    import duckdb
+
+    prices = [0.0, 0.0, -0.0, -5.0, -5.0, 100.0, 95.0, 90.0, 89.99, 111.0, math.inf, math.inf, math.nan, math.nan, None, None, 5e-324, 5e-324, 1e308, 0.0, 85.5, 94.999]
+    data = [(k, ["red ring", "blue  ring", None, "Red-ring x"][k % 4], "x", "p", 1, p) for k, p in enumerate(prices)] + [(k, "red ring", b, "p", 1, p) for k, b, p in [(100, None, 5.0), (101, None, None), (102, "y", None), (103, "y", None), (None, "x", 5.0)]]
+    spark.createDataFrame(data, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    duckdb.sql(f"CREATE OR REPLACE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = duckdb.sql(texts.REG.oracles[name]).fetchall()
+    assert {(0, 1), (0, 14), (5, 14), (14, 19)} <= {w[:2] for w in want}
+    assert rows(getattr(texts, name)(spark, str(tmp_path))) == sorted(want, key=repr)
