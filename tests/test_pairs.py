@@ -138,3 +138,9 @@ def test_pairs_of_odd_prices_are_those_of_the_sql(spark, rows, tmp_path, name):
     want = duckdb.sql(texts.REG.oracles[name]).fetchall()
     assert {(0, 1), (0, 14), (5, 14), (14, 19)} <= {w[:2] for w in want}
     assert rows(getattr(texts, name)(spark, str(tmp_path))) == sorted(want, key=repr)
+
+
+def test_lists_are_sent_with_what_pairs_need_alone(spark, tmp_path):
+    _parts(spark, tmp_path, 20)
+    plan = texts.block_pairs(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "struct(p_partkey, p_partkey" in plan and "struct(k, " not in plan
