@@ -144,3 +144,9 @@ def test_lists_are_sent_with_what_pairs_need_alone(spark, tmp_path):
     _parts(spark, tmp_path, 20)
     plan = texts.block_pairs(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "struct(p_partkey, p_partkey" in plan and "struct(k, " not in plan
+
+
+def test_groups_travel_in_one_list(spark, tmp_path):
+    _parts(spark, tmp_path, 20)
+    plan = texts.token_similarity(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("array_intersect") < plan.index("posexplode(_ls") < plan.index("RepartitionByExpression")
