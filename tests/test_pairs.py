@@ -150,3 +150,13 @@ def test_groups_travel_in_one_list(spark, tmp_path):
     _parts(spark, tmp_path, 20)
     plan = texts.token_similarity(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("array_intersect") < plan.index("posexplode(_ls") < plan.index("RepartitionByExpression")
+
+
+def test_names_are_scored_before_lists_unfold(spark, rows, tmp_path):
+    data = _parts(spark, tmp_path, 90)
+    got = texts.token_set_ratio(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("posexplode(_ls") < plan.index("ArrowEvalPython")
+    near = lambda a, b: a[2] == b[2] and a[2] and min(a[5], b[5]) >= max(a[5], b[5]) * 0.9
+    want = [(a[0], b[0], None if None in (a[1], b[1]) else round(tx.token_set_score(a[1], b[1]), 6)) for a, b in itertools.combinations(data, 2) if near(a, b)]
+    assert rows(got) == sorted(want, key=repr)
