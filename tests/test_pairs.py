@@ -160,3 +160,18 @@ def test_names_are_scored_before_lists_unfold(spark, rows, tmp_path):
     near = lambda a, b: a[2] == b[2] and a[2] and min(a[5], b[5]) >= max(a[5], b[5]) * 0.9
     want = [(a[0], b[0], None if None in (a[1], b[1]) else round(tx.token_set_score(a[1], b[1]), 6)) for a, b in itertools.combinations(data, 2) if near(a, b)]
     assert rows(got) == sorted(want, key=repr)
+
+
+def test_pair_scores_compare_names_before_rows_unfold(spark, rows, tmp_path):
+    import duckdb
+
+    from gridloom.plans import linkplans
+
+    names = ["red ring", "ring red", "blue bolt", "blue  ring", "", None]
+    data = [(k, names[k % 6], ("x", "y", None)[k % 7 % 3], ("p", "q", "pS")[k % 5 % 3], k % 9, 100.0 + k % 13) for k in range(80)]
+    spark.createDataFrame(data, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    got = linkplans.pair_scores(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Generate explode(_xs") < plan.index("array_intersect")
+    duckdb.sql(f"CREATE OR REPLACE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert rows(got) == sorted(duckdb.sql(linkplans.REG.oracles["pair_scores"]).fetchall(), key=repr)
